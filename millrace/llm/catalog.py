@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import media, pack, tokens
+from millrace.llm import langid, media, pack, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,12 +28,20 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.classify(table(spark, sf_dir, "documents"))
+
+
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_lines(table(spark, sf_dir, "documents"), tokenizer_path(), rule="most")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_media": op2_media, "op4_packing": op4_packing, "op9_tokens": op9_tokens}
+    return {"op2_media": op2_media, "op4_packing": op4_packing, "op6_quality": op6_quality, "op7_language": op7_language, "op9_tokens": op9_tokens}
 
 
 def oracle_sql() -> dict[str, str]:
