@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import langid, media, pack, quality, tokens
+from millrace.llm import langid, media, neardup, pack, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,8 +40,12 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_lines(table(spark, sf_dir, "documents"), tokenizer_path(), rule="most")
 
 
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_media": op2_media, "op4_packing": op4_packing, "op6_quality": op6_quality, "op7_language": op7_language, "op9_tokens": op9_tokens}
+    return {"op2_media": op2_media, "op4_packing": op4_packing, "op6_quality": op6_quality, "op7_language": op7_language, "op9_tokens": op9_tokens, "op10_jaccard": op10_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
