@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import langid, media, neardup, pack, quality, tokens
+from millrace.llm import decontam, langid, licenses, linededup, media, neardup, pack, prefs, quality, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,14 +20,26 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefs.format_pairs(table(spark, sf_dir, "conversations"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,6 +48,10 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.classify(table(spark, sf_dir, "documents"))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_lines(table(spark, sf_dir, "documents"), tokenizer_path(), rule="most")
 
@@ -45,8 +61,9 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_media": op2_media, "op4_packing": op4_packing, "op6_quality": op6_quality, "op7_language": op7_language, "op9_tokens": op9_tokens, "op10_jaccard": op10_jaccard}
+    every = (op1_licenses, op2_media, op3_decontamination, op4_packing, op5_preferences, op6_quality, op7_language, op8_lines, op9_tokens, op10_jaccard)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_decontamination": decontam.sql(), "op5_preferences": prefs.SQL, "op8_lines": linededup.sql()}
