@@ -1,4 +1,67 @@
-"""The corpus pipeline: stages over ``documents``."""
+"""The corpus pipeline: five stages over ``documents``, each working on all that the one before kept.
 
-STAGES = []
+Every stage is one operator of ``millrace.llm``: texts whose language can't be told go, boilerplate lines go
+from what is left, one document of each group of near copies stays, documents in which a benchmark
+passage occurs go, and the rest is packed into training sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import catalog, decontam, langid, linededup, neardup, pack
+from millrace.llm._scratch import written
+
+#: Least probability at which a document's language counts as told.
+LANGUAGE_LEAST = 0.3
+#: A document goes if windows of so many benchmark items occur in it.
+LEAKED_ITEMS = 1
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with a letter whose language is told with ``LANGUAGE_LEAST`` probability."""
+    return langid.accepted(docs, least=LANGUAGE_LEAST)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops each source's boilerplate lines; ``n_chars`` follows the text where it changed."""
+    cleaned = linededup.clean(docs)
+    length = F.when(F.col("_n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return cleaned.withColumn("n_chars", length).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the least id of each class of near copies."""
+    return neardup.deduplicated(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents in which a passage of ``benchmark`` occurs."""
+    return decontam.uncontaminated(docs, catalog.table(spark, sf_dir, "benchmark"), least_items=LEAKED_ITEMS)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row per piece of a document in its sequence."""
+    return pack.pack(docs, catalog.tokenizer_path())
+
+
+STAGES = [
+    ("language ID", language),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontaminate),
+    ("packing", packing),
+]
+
+#: Language ID, MinHash and packing are beyond SQL; tests compare the pipeline with a brute-force version.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = catalog.table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = written(docs, f"stage{i}")
+    return docs
