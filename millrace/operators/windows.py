@@ -67,6 +67,15 @@ def tumble_aggregate(df: DataFrame, ts: str, size: int, keys: list[str], *aggreg
     return rows.select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *[c for c in rows.columns if c != "window"])
 
 
+def hop_aggregate_rows(df: DataFrame, ts: str, slide: int, size: int, keys: list[str], *aggregates: Column) -> DataFrame:
+    """HOP over rows, for streams: the watermark stays with the window, so windows close one by one."""
+    rows = df.where(F.col(ts).isNotNull())
+    if slide > size:
+        rows = rows.where(F.pmod(epoch_ms(ts), F.lit(slide)) < size)
+    out = rows.groupBy(F.window(ts, _span(max(size, slide)), _span(slide)).alias("window"), *keys).agg(*aggregates)
+    return out.select(F.col("window.start").alias("window_start"), _plus(F.col("window.start"), size).alias("window_end"), *[c for c in out.columns if c != "window"])
+
+
 def hop_aggregate(df: DataFrame, ts: str, slide: int, size: int, keys: list[str], partial: dict[str, Column], final: dict[str, Column]) -> DataFrame:
     """HOP by shared slices: rows are aggregated once per slice, and only slices are repeated for windows.
 
