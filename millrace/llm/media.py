@@ -80,10 +80,9 @@ def encode_avi(payload: bytes) -> bytes:
     if b"\xff" in payload:
         frames = []
         for row in scan:
-            flat = np.repeat(row, 1 + ((row == 0xFF) & (np.arange(_SCAN) % (2 * BLOCK + 2) < 2 * BLOCK)))
-            stuffed = np.flatnonzero(flat[:-1] == 0xFF)
-            stuffed = stuffed[flat[stuffed + 1] == 0xFF]
-            flat[stuffed + 1] = 0
+            stuffed = (row == 0xFF) & (np.arange(_SCAN) % (2 * BLOCK + 2) < 2 * BLOCK)
+            flat = np.repeat(row, 1 + stuffed)
+            flat[np.cumsum(1 + stuffed)[stuffed] - 1] = 0
             frames.append(HEADER + flat.tobytes())
         sizes = np.array([len(f) for f in frames])
         movi = b"movi" + b"".join(_chunk(b"00dc", f) for f in frames)
