@@ -284,7 +284,8 @@ def join(docs: DataFrame, *, threshold: float = THRESHOLD, words: int = WORDS, t
     load = homes.groupBy("pivot").agg(F.sum("n").alias("load")).select("pivot", F.ceil(F.col("load") / F.lit(block)).cast("int").alias("blocks"))
     lists = homes.join(load, "pivot").groupBy("key").agg(F.collect_list(F.struct("pivot", "blocks")).alias("homes"))  # at most one for each tree
     carried = written(lists.join(sets, "key"), "carried")
-    met = rows.join(carried, "id").select(
+    # merged at every size: a broadcast would spare small inputs a shuffle of texts that large ones can't be spared
+    met = rows.join(carried.hint("merge"), "id").select(
         "key", "text", "texts", F.transform("homes", lambda x: x["pivot"]).alias("pivots"), F.explode("homes").alias("home")
     )
     own = F.pmod(F.xxhash64("key", F.lit(3)), F.col("home.blocks")).cast("int")
