@@ -12,8 +12,8 @@ from millrace.functions import aggregates as A
 from millrace.functions import scalar as S
 from millrace.operators import calc, changelog, joins, over, rank, windows
 from millrace.plans import nexmark
-from millrace.session import table
-from millrace.sources import formats
+from millrace.session import scratch, table
+from millrace.sources import binary, files, formats
 from millrace.types import ROW_KIND, weight
 
 HOUR, DAY = 3_600_000, 86_400_000
@@ -731,6 +731,96 @@ def _(s, d):
     wire = orders(s, d).select("o_orderkey", formats.raw_encode(k, "bigint").alias("x"), formats.raw_encode(k.cast("int"), "int", little_endian=True).alias("y"), formats.raw_encode("o_orderstatus", "string").alias("z"))
     return wire.select("o_orderkey", formats.raw_decode("x", "bigint").alias("b"), formats.raw_decode("y", "int", little_endian=True).alias("i"), formats.raw_decode("z", "string").alias("t"))
 
+_WIRE_SQL = "SELECT event_id AS id, CAST(floor(value * 100) AS BIGINT) AS v, CASE WHEN event_type <> 'error' THEN event_type END AS t FROM events"
+
+
+def _wire_rows(s, d):
+    return events(s, d).select(F.col("event_id").alias("id"), "v", F.when(F.col("event_type") != "error", F.col("event_type")).alias("t"))
+
+
+@query("avro_roundtrip", _WIRE_SQL)
+def _(s, d):
+    wire = _wire_rows(s, d).select(binary.avro_encode(["id", "v", "t"], _ROW).alias("value"))
+    return wire.select(binary.avro_decode("value", _ROW).alias("r")).select("r.*")
+
+
+@query("avro_confluent_roundtrip", _WIRE_SQL)
+def _(s, d):
+    wire = _wire_rows(s, d).select(binary.avro_encode(["id", "v", "t"], _ROW, schema_id=3).alias("value"))
+    return wire.select(binary.avro_decode("value", _ROW, confluent=True).alias("r")).select("r.*")
+
+
+@query("protobuf_roundtrip", _WIRE_SQL)
+def _(s, d):
+    fields = (binary.Field("id", 1, "int64"), binary.Field("v", 2, "sint64"), binary.Field("t", 3, "string", optional=True))
+    wire = _wire_rows(s, d).select(binary.protobuf_encode(["id", "v", "t"], fields).alias("value"))
+    return wire.select(binary.protobuf_decode("value", fields).alias("r")).select("r.*")
+
+
+_MOVES = E + """SELECT CAST(0 AS TINYINT) AS _row_kind, event_id AS id, v, event_type AS t FROM e WHERE event_type = 'signup' UNION ALL
+SELECT CAST(1 AS TINYINT), event_id, v - 1, event_type FROM e WHERE event_type = 'click' UNION ALL SELECT CAST(2 AS TINYINT), event_id, v, event_type FROM e WHERE event_type = 'click' UNION ALL
+SELECT CAST(3 AS TINYINT), event_id, v, event_type FROM e WHERE event_type = 'error'"""
+
+
+def _images(s, d):
+    t = F.col("event_type")
+    row = lambda v: F.struct(F.col("event_id").alias("id"), v.alias("v"), t.alias("t"))
+    before = F.when(t == "error", row(F.col("v"))).when(t == "click", row(F.col("v") - 1))
+    return events(s, d).where(t.isin("signup", "click", "error")), before, F.when(t != "error", row(F.col("v")))
+
+
+@query("cdc_ogg_decode", _MOVES)
+def _(s, d):
+    e, before, after = _images(s, d)
+    op = F.when(F.col("event_type") == "signup", "I").when(F.col("event_type") == "click", "U").otherwise("D")
+    return formats.ogg_decode(e.select(F.to_json(F.struct(before.alias("before"), after.alias("after"), op.alias("op_type"))).alias("value")), "value", _ROW)
+
+
+@query("cdc_canal_decode", _MOVES)
+def _(s, d):
+    e, before, after = _images(s, d)
+    kind = F.when(F.col("event_type") == "signup", "INSERT").when(F.col("event_type") == "click", "UPDATE").otherwise("DELETE")
+    old = F.when(kind == "UPDATE", F.array(F.struct((F.col("v") - 1).alias("v"))))
+    return formats.canal_decode(e.select(F.to_json(F.struct(F.array(F.coalesce(after, before)).alias("data"), old.alias("old"), kind.alias("type"))).alias("value")), "value", _ROW)
+
+
+@query("cdc_debezium_avro", _MOVES)
+def _(s, d):
+    e, before, after = _images(s, d)
+    image = T.StructType([T.StructField("before", _ROW), T.StructField("after", _ROW), T.StructField("op", T.StringType())])
+    op = F.when(F.col("event_type") == "signup", "c").when(F.col("event_type") == "click", "u").otherwise("d")
+    rows = e.select(before.alias("before"), after.alias("after"), op.alias("op"))
+    wire = rows.select(binary.avro_encode(image.names, image, schema_id=1).alias("value"))
+    return formats.debezium_decode(wire.select(F.to_json(binary.avro_decode("value", image, confluent=True)).alias("value")), "value", _ROW)
+
+
+@query("upsert_messages", """SELECT '{"id":' || event_id || '}' AS key, CASE WHEN event_type <> 'error' THEN '{"id":' || event_id || ',"t":"' || event_type || '"}' END AS value FROM events WHERE event_type <> 'view'""")
+def _(s, d):
+    kind = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "error", 3).otherwise(2)
+    rows = changelog.tag(events(s, d).select(F.col("event_id").alias("id"), F.col("event_type").alias("t"), "event_type"), kind)
+    return formats.upsert_encode(rows, ["id"], ["id", "t"])
+
+
+@query("parquet_sink", "SELECT o_orderkey, o_totalprice, o_orderpriority FROM orders")
+def _(s, d):
+    path = scratch(s, "sink")
+    files.write_parquet(orders(s, d).select("o_orderkey", "o_totalprice", "o_orderpriority"), path, partition_by=["o_orderpriority"], codec="zstd")
+    return s.read.schema("o_orderkey bigint, o_totalprice double, o_orderpriority string").parquet(path)
+
+
+@query("snapshot_upsert", CHANGES + "SELECT user_id, v FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM c) WHERE r = 1 AND k <> 3")
+def _(s, d):
+    kept = files.Snapshot(s, scratch(s, "snapshot"), ["user_id"], T.StructType([T.StructField("user_id", T.LongType()), T.StructField("v", T.LongType())]), buckets=4)
+    c = changes(s, d)
+    kept.upsert(c.where("user_id % 2 = 0"), "event_id")
+    kept.upsert(c.where("user_id % 2 <> 0"), "event_id")
+    return kept.read()
+
+
+@query("datagen_events", """SELECT CAST(event_type AS INTEGER) AS event_type, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN i % 50 = 0 THEN 0 WHEN i % 50 <= 3 THEN 1 ELSE 2 END AS event_type FROM range(10000) t(i)) GROUP BY 1""")
+def _(s, d):
+    return nexmark.event_stream(s, 10_000).groupBy("event_type").agg(A.count().alias("n"))
+
 
 def queries() -> dict[str, Query]:
     from millrace.streaming import catalog as streaming
