@@ -66,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontam.sql(), "op5_preferences": prefs.SQL, "op8_lines": linededup.sql()}
+    return {"op3_decontamination": decontam.sql(), "op5_preferences": prefs.SQL, "op8_lines": linededup.sql(), "op10_jaccard": neardup.sql()}

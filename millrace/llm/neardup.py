@@ -310,3 +310,21 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataF
     """The rows of ``docs`` whose id is the least of its class; rows without an id stay."""
     gone = written(join(docs, id_col=id_col, **options).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("gone")).distinct(), "gone")
     return docs.join(gone, docs[id_col] == gone["gone"], "left_anti")
+
+
+def sql(docs: str = "documents") -> str:
+    """DuckDB SQL of ``join`` with its defaults, by all shared shingles and a transitive closure; for small tables."""
+    up, down = Fraction(str(THRESHOLD)).as_integer_ratio()
+    pattern = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{pattern}') AS w FROM {docs}),
+x AS (SELECT text, min(doc_id) AS rep, any_value(w) AS w FROM d WHERE text <> '' AND doc_id IS NOT NULL GROUP BY text),
+s AS (SELECT DISTINCT rep, array_to_string(w[k:k + least(len(w), {WORDS}) - 1], ' ') AS g FROM (SELECT rep, w, unnest(generate_series(1, greatest(len(w) - {WORDS - 1}, 1))) AS k FROM x WHERE len(w) > 0)),
+n AS (SELECT rep, count(*) AS n FROM s GROUP BY rep),
+meet AS (SELECT a.rep AS a, b.rep AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.rep <> b.rep GROUP BY 1, 2),
+l AS (SELECT a, b FROM meet JOIN n na ON a = na.rep JOIN n nb ON b = nb.rep WHERE meet.n * {down} >= {up} * (na.n + nb.n - meet.n)),
+r AS (SELECT rep AS a, rep AS b FROM x UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS class_id FROM r GROUP BY a),
+m AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, CAST(coalesce(m.n_links, 0) AS BIGINT) AS n_links
+FROM d LEFT JOIN x ON d.text = x.text LEFT JOIN c ON x.rep = c.a LEFT JOIN m ON x.rep = m.a"""
