@@ -1,7 +1,7 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer numpy network.
 
 Tokens are runs of letters and digits, and runs of symbols, with case kept; each is hashed to one of
-``WORDS`` places, and its shape (case, length, what it touches) to one of ``SHAPES``.  Every place has a
+``WORDS`` places, and its shape (case, length, what it touches, whether it repeats the token before it) to one of ``SHAPES``.  Every place has a
 sparse ternary index vector from a fixed seed.  A place's word vector is its index vector plus the
 normalized sum of its neighbours' index vectors within ``WINDOW`` tokens over the sample.  A text's
 features are the means of its tokens' word and shape vectors, their norms, and its length.  The network
@@ -70,7 +70,11 @@ def token_places(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
             begin[1:] = (kind[1:] != kind[:-1]) | edge[1:-1]
             stop[:-1] = begin[1:]
         starts, ends = np.flatnonzero(begin & (kind > 0)), np.flatnonzero(stop & (kind > 0)) + 1
-        word = (span_hashes(_BYTE[raw], starts, ends) >> np.uint64(50)).astype(np.int64)
+        whole, first = span_hashes(_BYTE[raw], starts, ends), np.searchsorted(starts, bounds)
+        word = (whole >> np.uint64(50)).astype(np.int64)
+        again = np.zeros(len(starts), dtype=bool)  # the token before it, once more
+        again[1:] = whole[1:] == whole[:-1]
+        again[first[first < len(starts)]] = False
 
         def total(table: np.ndarray) -> np.ndarray:
             sums = np.zeros(n + 1, dtype=np.int64)
@@ -86,8 +90,8 @@ def token_places(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nd
             touched[:-1] = (ends[:-1] == starts[1:]) & ~edge[ends[:-1]]
         first_byte = raw[starts].astype(np.int64) if len(starts) else np.zeros(0, np.int64)
         symbol = 64 + (first_byte & 63) * 3 + np.minimum(size - 1, 2)
-        shape = WORDS + np.where(kind[starts] == 2 if len(starts) else False, np.minimum(symbol, SHAPES - 1), case * 8 + length * 2 + touched)
-        yield lo, hi, word, shape, np.searchsorted(starts, bounds)
+        shape = WORDS + np.where(kind[starts] == 2 if len(starts) else False, np.minimum(symbol, SHAPES - 1), np.where(again, 48 + length, case * 8 + length * 2 + touched))
+        yield lo, hi, word, shape, first
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -171,7 +175,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> dict | None:
     rest = slice(cut, None) if cut < len(x) else slice(None)
     out, truth = logits(model, x[rest]), y[rest]
     best = (np.inf, 1.0)
-    for t in np.geomspace(0.25, 8, 31):
+    for t in np.geomspace(1, 8, 25):
         s = np.clip(out / t, -30, 30)
         best = min(best, (float((np.logaddexp(0, s) - truth * s).mean()), float(t)))
     model["temperature"] = best[1]
