@@ -55,13 +55,16 @@ def window(left: DataFrame, right: DataFrame, keys: list[tuple[str, str]], how:
     return left.join(right, on, KINDS[how])
 
 
-def temporal(probe: DataFrame, versions: DataFrame, key: tuple[str, str], times: tuple[str, str], arrival: str, how: str = "inner", residual: Column | None = None) -> DataFrame:
+def temporal(probe: DataFrame, versions: DataFrame, key: tuple[str, str], times: tuple[str, str], arrival: str, how: str = "inner", residual: Column | None = None, segment_ms: int | None = None) -> DataFrame:
     """Each probe with the latest version of its key at or before its time.
 
     One pass: probes and versions are merged, sorted by key and time, and the last version is carried on,
     so nothing is paired that does not match.  Of versions at one time the last to arrive counts.  A latest version that is a
     removal (``_row_kind`` -D or -U) means that there is no row, not an older one.  A failing residual pads or drops.
     Column names of the two sides must differ (but for ``_row_kind``).
+
+    segment_ms: deals each key by stretches of time too, so that a very common key is sorted by many tasks;
+    a stretch starts with the last version before it, found among one row per key and stretch.
     """
     kind = F.col(ROW_KIND).isin(DELETE, UPDATE_BEFORE) if ROW_KIND in versions.columns else F.lit(False)
     kept = [c for c in versions.columns if c != ROW_KIND]
@@ -70,8 +73,14 @@ def temporal(probe: DataFrame, versions: DataFrame, key: tuple[str, str], times:
     )
     p = probe.select(F.col(key[0]).alias("_key"), epoch_ms(times[0]).alias("_ms"), F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_seq"), F.struct(*probe.columns).alias("_probe"))
     both = v.unionByName(p, allowMissingColumns=True)
-    upto = Window.partitionBy("_key").orderBy("_ms", "_side", "_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("_segment", F.floor(F.col("_ms") / segment_ms) if segment_ms else F.lit(0))
+    upto = Window.partitionBy("_key", "_segment").orderBy("_ms", "_side", "_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = both.withColumn("_last", F.last("_version", ignorenulls=True).over(upto)).where(F.col("_side") == 1)
+    if segment_ms:
+        last = both.groupBy("_key", "_segment").agg(F.max_by("_version", F.when(F.col("_side") == 0, F.struct("_ms", "_seq"))).alias("_version"))
+        before = Window.partitionBy("_key").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+        start = last.select(F.col("_key").alias("_k"), F.col("_segment").alias("_s"), F.last("_version", ignorenulls=True).over(before).alias("_start"))
+        carried = carried.join(start, (F.col("_key") == F.col("_k")) & (F.col("_segment") == F.col("_s")), "left").withColumn("_last", F.coalesce("_last", "_start"))
     out = carried.select("_probe.*", F.when(F.col("_key").isNotNull() & ~F.col("_last.gone"), F.col("_last")).alias("_last"))
     out = out.select(*probe.columns, F.col("_last").isNotNull().alias("_hit"), *(F.col(f"_last.{c}").alias(c) for c in kept))
     if residual is not None:

@@ -636,6 +636,12 @@ def _(s, d):
     return joins.temporal(p, v, ("user_id", "vu"), ("ts", "vts"), "vid", "left")
 
 
+@query("join_temporal_segments", _TEMPORAL.format("TRUE") + f"SELECT event_id, user_id, ts, v, {_CUT} FROM x")
+def _(s, d):
+    p, v = _versions(s, d)
+    return joins.temporal(p, v, ("user_id", "vu"), ("ts", "vts"), "vid", "left", segment_ms=2 * DAY)
+
+
 @query("join_temporal_residual", _TEMPORAL.format("coalesce(rate > v, FALSE)") + f"SELECT event_id, user_id, ts, v, {_CUT} FROM x")
 def _(s, d):
     p, v = _versions(s, d)

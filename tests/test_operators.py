@@ -99,6 +99,7 @@ def test_temporal_join(spark):
     probe = timed(spark, [("USD", 1, 150), ("EUR", 2, 250), ("GBP", 4, 260), ("USD", 3, 450), (None, 9, 450), ("USD", 5, 300)], "c string, amount long, t long", "t")
     rates = timed(spark, [("USD", 10, 100, 0, 0), ("EUR", 99, 100, 1, 0), ("USD", 20, 300, 2, 0), ("USD", 21, 300, 3, 0), ("EUR", 99, 200, 4, 3)], "cur string, rate long, u long, seq long, _row_kind byte", "u")
     args = (probe, rates, ("c", "cur"), ("t", "u"), "seq")
+    assert rows(joins.temporal(*args, "left", segment_ms=70), "amount", "rate") == rows(joins.temporal(*args, "left"), "amount", "rate")
     assert rows(joins.temporal(*args), "amount", "rate") == [(1, 10), (3, 21), (5, 21)]
     assert rows(joins.temporal(*args, "left", F.col("rate") > 10), "amount", "rate") == [(1, None), (2, None), (3, 21), (4, None), (5, 21), (9, None)]
 
