@@ -2,31 +2,28 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
-#: Result types that a scalar function may have.
-RESULTS = ("string", "bigint", "int", "double", "boolean", "float", "smallint", "tinyint")
+#: Result types that a scalar function may have, and decimal(p,s).
+RESULTS = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "float": pa.float32(), "smallint": pa.int16(), "tinyint": pa.int8()}
 
 
 def scalar(f: Callable, result: str, deterministic: bool = True) -> Callable[..., Column]:
     """A function of one row's values as a column function; NULLs are passed on to it as None."""
-    if result not in RESULTS and not result.startswith("decimal"):
-        raise ValueError(f"a scalar function returns one of {RESULTS} or a decimal")
-
-    def run(*columns: pd.Series) -> pd.Series:
-        values = [[None if pd.isna(v) else v for v in c] for c in columns]
-        return pd.Series([f(*row) for row in zip(*values, strict=True)], dtype=object)
-
-    def call(*columns: Column | str) -> Column:
-        # one function per number of arguments: Arrow functions are typed by their signature
-        names = ", ".join(f"a{i}: pd.Series" for i in range(len(columns)))
-        scope = {"pd": pd, "run": run}
-        exec(f"def wrapped({names}) -> pd.Series:\n    return run({', '.join(f'a{i}' for i in range(len(columns)))})", scope)  # noqa: S102
-        made = F.pandas_udf(scope["wrapped"], result)
-        return (made if deterministic else made.asNondeterministic())(*columns)
-
-    return call
+    exact = re.fullmatch(r"decimal\((\d+),\s*(\d+)\)", result)
+    if result not in RESULTS and not exact:
+        raise ValueError(f"a scalar function returns one of {', '.join(RESULTS)} or decimal(p,s)")
+    kind = pa.decimal128(int(exact[1]), int(exact[2])) if exact else RESULTS[result]
+
+    def run(*columns: pa.Array) -> pa.Array:
+        values = [f(*row) for row in zip(*(c.to_pylist() for c in columns), strict=True)]
+        return pa.array(values, kind)
+
+    made = F.arrow_udf(run, result, ArrowUDFType.SCALAR)
+    return made if deterministic else made.asNondeterministic()
