@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import sys
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from millrace.llm._words import row_slices, span_hashes, utf8
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 OTHER, SPACE, LETTER, NUMBER = 0, 1, 2, 3
 #: Code units of text cut at a time.
-PIECE_BYTES = 1 << 19
+PIECE_BYTES = 1 << 18
 
 
 @lru_cache(1)
@@ -78,9 +78,10 @@ def _byte_of() -> dict[str, int]:
 class Encoder:
     """Ids of whole texts, equal to those of ``Tokenizer.from_file(path)`` without special tokens added."""
 
-    def __init__(self, path: str, slots: int = 1 << 22):
-        self.whole = Tokenizer.from_file(path)
-        spec = json.loads(self.whole.to_str())
+    def __init__(self, path: str, slots: int = 1 << 20):
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         byte = _byte_of()
         ranks = {bytes(byte[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in special}
@@ -94,6 +95,11 @@ class Encoder:
         self.slots = slots
         self._clear()
 
+    @cached_property
+    def whole(self) -> Tokenizer:
+        """The library's own tokenizer, loaded only for texts that hold a special token's string."""
+        return Tokenizer.from_file(self.path)
+
     def _clear(self) -> None:
         self.keys = np.zeros(self.slots, dtype=np.uint64)
         self.at = np.zeros(self.slots, dtype=np.int32)

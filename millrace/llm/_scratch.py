@@ -10,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of one Arrow batch handed to a Python worker; long texts then make small batches.
-ARROW_BATCH_BYTES = 16 << 20
+ARROW_BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -6,15 +6,17 @@ and every byte above 0x7F, so bytes can be classed without decoding.  Words are
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text worked on at a time; a longer text makes a piece of its own.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
@@ -88,12 +90,19 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), offsets
 
 
+@lru_cache(1)
+def _trim():
+    """glibc's call that gives freed memory back; elsewhere nothing."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
 def row_slices(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
     lo, n = 0, len(offsets) - 1
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, side="right")) - 1)
         yield lo, hi
         lo = hi
+    _trim()(0)  # workers live on between tasks: they should not hold what one batch needed
 
 
 def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[Piece]:
