@@ -96,14 +96,21 @@ def stream_over(s, d):
     return finish(keyed(_events(s, d, end=False), ["user_id"], over, _changes(event_id=_LONG, s=_LONG, n=_LONG)), "update").drop(ROW_KIND)
 
 
-def stream_updating_join(s, d):
-    e = _events(s, d, end=False)
+def _updating_join(e):
     side = F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "error", 1)
-    rows = e.where(side.isNotNull() & (F.col("event_id") % 10 < 3)).select(side.alias("_side"), F.col("user_id").alias("k"), "event_id", F.col("event_id").alias("lid"), F.col("event_id").alias("rid"))
+    rows = e.where(side.isNotNull()).select(side.alias("_side"), F.col("user_id").alias("k"), "event_id", F.col("event_id").alias("lid"), F.col("event_id").alias("rid"))
     out = keyed(rows, ["k"], P.UpdatingJoin(["lid"], ["rid"], "full", "event_id"), _changes(lid=_LONG, rid=_LONG))
     return changelog.collapse(finish(out, "update"))
 
 
+def stream_updating_join(s, d):
+    return _updating_join(_events(s, d, end=False).where(F.col("event_id") % 10 < 3))
+
+
+def stream_updating_join_whole(s, d):
+    return _updating_join(_events(s, d, end=False))
+
+
 def stream_temporal_join(s, d):
     e = _events(s, d)
     side = F.when(F.col("event_type") == "purchase", 1).otherwise(0)
@@ -137,6 +144,7 @@ ON l.user_id = r.user_id AND l.event_type = 'click' AND r.event_type = 'purchase
     "stream_normalize": E + "SELECT user_id, v FROM (SELECT user_id, event_type, ((v % 50) + 50) % 50 AS v, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM e) WHERE r = 1 AND event_type <> 'error'",
     "stream_over": E + "SELECT event_id, CAST(sum(v) OVER w AS BIGINT) AS s, count(v) OVER w AS n FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 3 PRECEDING AND CURRENT ROW)",
     "stream_updating_join": "SELECT l.event_id AS lid, r.event_id AS rid FROM (SELECT * FROM events WHERE event_type = 'click' AND event_id % 10 < 3) l FULL JOIN (SELECT * FROM events WHERE event_type = 'error' AND event_id % 10 < 3) r ON l.user_id = r.user_id",
+    "stream_updating_join_whole": "SELECT l.event_id AS lid, r.event_id AS rid FROM (SELECT * FROM events WHERE event_type = 'click') l FULL JOIN (SELECT * FROM events WHERE event_type = 'error') r ON l.user_id = r.user_id",
     "stream_temporal_join": E + """SELECT p.event_id, p.v, CASE WHEN r.event_type <> 'error' THEN r.v END AS rate FROM (SELECT * FROM e WHERE event_type = 'purchase') p
 ASOF LEFT JOIN (SELECT * FROM e WHERE event_type NOT IN ('purchase', 'click')) r ON p.user_id = r.user_id AND p.ts >= r.ts""",
     "stream_sort": E + "SELECT event_id, v FROM e",
@@ -144,7 +152,7 @@ ASOF LEFT JOIN (SELECT * FROM e WHERE event_type NOT IN ('purchase', 'click')) r
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (stream_filter, stream_tumble, stream_hop, stream_session, stream_interval_join, stream_lookup_join, stream_dedup_first, stream_group_agg_changelog, stream_topn, stream_dedup_last, stream_normalize, stream_over, stream_updating_join, stream_temporal_join, stream_sort)}
+    return {f.__name__: f for f in (stream_filter, stream_tumble, stream_hop, stream_session, stream_interval_join, stream_lookup_join, stream_dedup_first, stream_group_agg_changelog, stream_topn, stream_dedup_last, stream_normalize, stream_over, stream_updating_join, stream_updating_join_whole, stream_temporal_join, stream_sort)}
 
 
 def oracle_sql() -> dict[str, str]:

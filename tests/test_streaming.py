@@ -97,3 +97,12 @@ def test_keep_last_ties_go_to_the_later(spark, tmp_path):
     out = finish(keyed(stream(spark, tmp_path / "in", data, "seq long, k long, t long, v long", 2), ["k"], last, changes(k=LONG, v=LONG)), "update")
     batch = rank.dedup_last(spark.createDataFrame(data, "seq long, k long, t long, v long"), ["k"], "t", "seq")
     assert rows(changelog.collapse(out)) == rows(batch, "k", "v") == [(1, 10), (2, 9)]
+
+
+def test_updating_join_query_joins_every_click_and_error(spark, sf):
+    from millrace.streaming import catalog
+
+    got = rows(catalog.queries()["stream_updating_join_whole"](spark, sf))
+    events = [(r.event_id, r.event_type) for r in spark.read.parquet(f"{sf}/events.parquet").collect()]
+    assert {i for i, _ in got if i is not None} == {i for i, t in events if t == "click"}
+    assert {i for _, i in got if i is not None} == {i for i, t in events if t == "error"}
