@@ -52,6 +52,10 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
 
+def op8_lines_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"), least=linededup.REPEATED)
+
+
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_lines(table(spark, sf_dir, "documents"), tokenizer_path(), rule="most")
 
@@ -61,9 +65,9 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_licenses, op2_media, op3_decontamination, op4_packing, op5_preferences, op6_quality, op7_language, op8_lines, op9_tokens, op10_jaccard)
+    every = (op1_licenses, op2_media, op3_decontamination, op4_packing, op5_preferences, op6_quality, op7_language, op8_lines, op8_lines_whole, op9_tokens, op10_jaccard)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontam.sql(), "op5_preferences": prefs.SQL, "op8_lines": linededup.sql(), "op10_jaccard": neardup.sql()}
+    return {"op3_decontamination": decontam.sql(), "op5_preferences": prefs.SQL, "op8_lines": linededup.sql(), "op8_lines_whole": linededup.sql(least=linededup.REPEATED), "op10_jaccard": neardup.sql()}

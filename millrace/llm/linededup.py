@@ -25,6 +25,8 @@ from millrace.llm._scratch import written
 
 RATIO = 0.1
 LEAST_PAGES = 10
+#: The least number of pages on which a line is repeated at all: ``RATIO`` then holds for hosts of every size.
+REPEATED = 2
 #: Fixed value: what is taken off a line's ends.
 BLANKS = " \t\r"
 

@@ -24,6 +24,15 @@ def test_lines_against_plain(spark):
     assert linededup.report(documents(spark, [])).count() == 0
 
 
+def test_small_hosts_lose_lines_too(spark, tmp_path):
+    rows = [(i, f"Menu\npage {i}", "en", "s") for i in range(4)] + [(9, "Menu\nalone", "en", "t")]
+    documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in catalog.queries()["op8_lines_whole"](spark, str(tmp_path)).collect())
+    assert got == [*((i, 2, 1, f"page {i}") for i in range(4)), (9, 2, 0, "Menu\nalone")]
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(duckdb.sql(catalog.oracle_sql()["op8_lines_whole"]).fetchall()) == got
+
+
 @pytest.mark.parametrize("rule", tokens.RULES)
 def test_line_tokens_against_offsets(spark, rule):
     rows = [*TEXTS, *((i + 1000, *r) for i, *r in sample(spark, 60)), (50, "\n\n\n  \nx\n", "en", "a")]
