@@ -575,6 +575,31 @@ def _(s, d):
     return joins.regular(o, c, (o["o_custkey"] == c["c_custkey"]) & (o["o_totalprice"] > c["c_acctbal"] * 20), "left")
 
 
+_ON_WHOLE = _ON.replace(" WHERE c_custkey % 3 <> 0", "")
+_DEAR = " AND o_totalprice > c_acctbal * 20"
+
+
+def _whole_sides(s, d):
+    return orders(s, d).select("o_orderkey", "o_custkey", "o_totalprice"), table(s, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+
+
+for _how, _kind in (("inner", "INNER"), ("left", "LEFT"), ("right", "RIGHT"), ("full", "FULL"), ("semi", "SEMI")):
+
+    @query(f"join_{_how}_whole", "SELECT * " + _ON_WHOLE.format(_kind))
+    def _(s, d, how=_how):
+        o, c = _whole_sides(s, d)
+        return joins.regular(o, c, o["o_custkey"] == c["c_custkey"], how)
+
+
+# no order lacks its customer: the condition makes the misses
+for _name, _how, _kind in (("anti", "anti", "ANTI"), ("residual", "left", "LEFT")):
+
+    @query(f"join_{_name}_whole", "SELECT * " + _ON_WHOLE.format(_kind) + _DEAR)
+    def _(s, d, how=_how):
+        o, c = _whole_sides(s, d)
+        return joins.regular(o, c, (o["o_custkey"] == c["c_custkey"]) & (o["o_totalprice"] > c["c_acctbal"] * 20), how)
+
+
 @query("join_of_aggs", """SELECT a.k, a.n, b.m FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1) a JOIN (SELECT s_nationkey AS k, count(*) AS m FROM supplier GROUP BY 1) b ON a.k = b.k""")
 def _(s, d):
     a = table(s, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(A.count().alias("n"))

@@ -180,6 +180,12 @@ def q21(spark, d):
     return rows.where(F.col("channel_id").isNotNull())
 
 
+def q21_whole(spark, d):
+    lowered = F.lower("channel")
+    channel = F.when(lowered == "channel-ro", "0").when(lowered == "channel-af", "1").otherwise(S.regexp_extract("url", "[?&]channel_id=([^&]*)", 1))
+    return bid(spark, d).select("auction", "bidder", "price", "channel", channel.alias("channel_id")).where(F.col("channel_id").isNotNull())
+
+
 def q22(spark, d):
     return bid(spark, d).select("auction", "bidder", "price", "channel", *(S.split_index("url", "/", i).alias(f"dir{i - 2}") for i in (3, 4, 5)))
 
@@ -230,13 +236,15 @@ count(*) FILTER (price >= 50000) AS rank3_bids, min(price) AS min_price, max(pri
     "q20": "SELECT b.auction, b.bidder, b.price, b.channel, b.url, b.date_time, a.item_name, a.initial_bid, a.date_time AS opened, a.expires, a.seller, a.category FROM bid b JOIN auction a ON b.auction = a.id WHERE a.category = 5",
     "q21": r"""SELECT * FROM (SELECT auction, bidder, price, channel, CASE WHEN lower(channel) = 'channel-ro' THEN '0' WHEN lower(channel) = 'channel-af' THEN '1'
 WHEN regexp_matches(url, 'channel_id=\d*[02468]$') THEN regexp_extract(url, 'channel_id=(\d*[02468])$', 1) END AS channel_id FROM bid) WHERE channel_id IS NOT NULL""",
+    "q21_whole": r"""SELECT * FROM (SELECT auction, bidder, price, channel, CASE WHEN lower(channel) = 'channel-ro' THEN '0' WHEN lower(channel) = 'channel-af' THEN '1'
+WHEN regexp_matches(url, '[?&]channel_id=') THEN regexp_extract(url, '[?&]channel_id=([^&]*)', 1) END AS channel_id FROM bid) WHERE channel_id IS NOT NULL""",
     "q22": "SELECT auction, bidder, price, channel, split_part(url, '/', 4) AS dir1, split_part(url, '/', 5) AS dir2, split_part(url, '/', 6) AS dir3 FROM bid",
     "q23": "SELECT b.auction, b.bidder, b.price, a.item_name, a.date_time AS opened, p.name FROM bid b JOIN auction a ON b.auction = a.id JOIN person p ON a.seller = p.id",
 }
 
 
 def queries() -> dict:
-    every = (q0, q1, q2, q3, q4, q5, q7, q8, q9, q10, q11, q12, q13, q14, q15, q16, q17, q18, q19, q20, q21, q22, q23)
+    every = (q0, q1, q2, q3, q4, q5, q7, q8, q9, q10, q11, q12, q13, q14, q15, q16, q17, q18, q19, q20, q21, q21_whole, q22, q23)
     return {f"nexmark_{f.__name__}": f for f in every}
 
 

@@ -181,3 +181,13 @@ def test_nexmark_events(spark):
     assert (nexmark.person_of(e).count(), nexmark.auction_of(e).count(), nexmark.bid_of(e).count()) == (2, 6, 92)
     first = nexmark.auction_of(e).orderBy("seq").first()
     assert (first["id"], first["seller"], first["date_time"]) == (0, 0, datetime.datetime(2024, 1, 1, 0, 0, 0, 10000))
+
+
+def test_whole_queries_leave_no_customer_or_bid_out(spark, sf):
+    from millrace.plans import catalog
+
+    n = spark.read.parquet(f"{sf}/orders.parquet").count()
+    made = {k: catalog.queries()[k](spark, sf) for k in ("join_inner_whole", "join_semi_whole", "join_residual_whole", "join_anti_whole", "nexmark_q21_whole")}
+    assert made["join_inner_whole"].count() == made["join_semi_whole"].count() == made["join_residual_whole"].count() == n
+    assert 0 < made["join_anti_whole"].count() < n
+    assert made["nexmark_q21_whole"].count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
