@@ -263,6 +263,12 @@ def _(s, d):
     return calc.unnest_multiset(rows, "m", "x").drop("m")
 
 
+@query("unnest_multiset_whole", "SELECT l_orderkey, l_returnflag AS x FROM lineitem, generate_series(1, l_linenumber) g(i)")
+def _(s, d):
+    rows = lineitem(s, d).select("l_orderkey", F.create_map("l_returnflag", "l_linenumber").alias("m"))
+    return calc.unnest_multiset(rows, "m", "x").drop("m")
+
+
 @query("unnest_rows", "SELECT event_id, event_type AS a, user_id AS b FROM events UNION ALL SELECT event_id, event_type || '!', user_id + 1 FROM events WHERE event_type <> 'view'")
 def _(s, d):
     t = F.col("event_type")

@@ -191,3 +191,10 @@ def test_whole_queries_leave_no_customer_or_bid_out(spark, sf):
     assert made["join_inner_whole"].count() == made["join_semi_whole"].count() == made["join_residual_whole"].count() == n
     assert 0 < made["join_anti_whole"].count() < n
     assert made["nexmark_q21_whole"].count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+
+
+def test_every_line_item_is_unnested(spark, sf):
+    from millrace.plans import catalog
+
+    want = spark.read.parquet(f"{sf}/lineitem.parquet").agg(F.sum("l_linenumber")).first()[0]
+    assert catalog.queries()["unnest_multiset_whole"](spark, sf).count() == want
