@@ -6,7 +6,8 @@ absolute.  Both Huffman tables hold one symbol (no run, eight bits), so byte v i
 magnitude bits of a coefficient; decoding reads the tables from the file and accepts no others.
 
 A row's frames are decoded by way of the ``idx1`` index.  Shots end where the difference of successive
-frames' sample histograms exceeds the mean plus ``SIGMAS`` deviations of the differences before it.
+frames' sample histograms exceeds the mean plus ``SIGMAS`` deviations of the differences before it; the
+first difference is held against those after it, and an only one against ``LEAST`` alone.
 
 A null text counts as empty; an empty payload is padded to 64 zero bytes; null and repeated ids are carried
 along; an empty table gives no rows; other columns are ignored.
@@ -195,8 +196,8 @@ def shots(diff: np.ndarray, frames: int) -> list[tuple[int, int]]:
     """First and past-last frame of each shot."""
     cuts = [0]
     for i, d in enumerate(diff.tolist()):
-        past = diff[max(0, i - LOOK_BACK) : i]
-        if d >= LEAST and len(past) and d > past.mean() + SIGMAS * past.std() + 1e-9:
+        near = diff[max(0, i - LOOK_BACK) : i] if i else diff[1 : 1 + LOOK_BACK]
+        if d >= LEAST and (not len(near) or d > near.mean() + SIGMAS * near.std() + 1e-9):
             cuts.append(i + 1)
     return list(zip(cuts, [*cuts[1:], frames], strict=True))
 

@@ -39,6 +39,14 @@ def test_shots():
     assert len(payload) == 32 * per
 
 
+def test_first_frame_can_be_a_shot():
+    per = media.BLOCK * media.BLOCKS
+    shots = lambda raw: [(a, b) for a, b, _ in media.analyse(media.encode_avi(raw))[1]]
+    assert shots(b"a" * per + b"Z" * per) == [(0, 40), (40, 80)]
+    assert shots(b"a" * per + b"Z" * 9 * per) == [(0, 40), (40, 400)]
+    assert shots(b"a" * 2 * per) == [(0, 80)]
+
+
 def test_documents(spark):
     docs = documents(spark)
     got = {}
