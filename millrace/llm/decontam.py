@@ -126,11 +126,14 @@ def scan(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
 def uncontaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least_items: int = 1) -> DataFrame:
     """The rows of ``docs``, all their columns kept, in which windows of fewer than ``least_items`` items occur.
 
-    A row is dropped with its id: repeated rows of an id go together, rows without an id stay.
+    A row is dropped with its id: repeated rows of an id go together.  A row without an id is dropped with its text's digest.
     """
-    gone = scan(docs, items, id_col=id_col, text_col=text_col).where(F.col("n_items") >= least_items).select(F.col(id_col).alias("_gone")).distinct()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    key = F.when(F.col(id_col).isNull(), F.concat(F.lit("t"), F.sha2(text, 256))).otherwise(F.concat(F.lit("i"), F.col(id_col).cast("string")))
+    keyed = docs.select(key.alias("_key"), text.alias("_text"))
+    gone = scan(keyed, items, id_col="_key", text_col="_text").where(F.col("n_items") >= least_items).select(F.col("_key").alias("_gone")).distinct()
     gone = written(gone, "gone")
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return docs.join(gone, key == gone["_gone"], "left_anti")
 
 
 def sql(docs: str = "documents", items: str = "benchmark") -> str:

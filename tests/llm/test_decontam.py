@@ -68,6 +68,13 @@ def test_leaked_rows_go(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, *_ in TEXTS} - {1, 2}
 
 
+def test_leaked_rows_without_an_id_go(spark):
+    table = spark.createDataFrame([(1, ITEMS[0][1])], "item_id long, text string")
+    docs = [(None, "see: " + ITEMS[0][1], "en", "a"), (None, "nothing of it", "en", "a"), (None, None, "en", "a"), (1, "clean", "en", "a")]
+    kept = decontam.uncontaminated(documents(spark, docs), table)
+    assert sorted(str(r.text) for r in kept.collect()) == ["None", "clean", "nothing of it"]
+
+
 def test_plan_is_native(spark):
     table = spark.createDataFrame(ITEMS, "item_id long, text string")
     plan = decontam.scan(documents(spark), table)._jdf.queryExecution().toString()
