@@ -1,9 +1,10 @@
-"""N-gram Jaccard join: a MinHash LSH forest, and exact verification.
+"""N-gram Jaccard join: banded MinHash, and exact verification.
 
-Texts are sets of shingles of five words.  A forest has ``TREES`` prefix tries, each over its own sequence
-of MinHash values.  A text's leaf is its longest prefix; matched prefixes are shortened one value at a time
-until a pair at the threshold meets in some trie with probability ``RECALL`` or more (``depth``).  Texts that
-share a trie node at that depth are candidates.
+Texts are sets of shingles of five words.  An LSH forest of ``TREES`` prefix tries is reduced to fixed bands: the
+depth is the longest, up to ``LONGEST``, at which a pair at the threshold meets in some trie with probability
+``RECALL`` or more (``depth``), and follows from the parameters alone, not from the data.  With the defaults
+these are 20 bands of 4 values.  No leaf of ``LONGEST`` values and no sorted trie is built.  Texts that share a
+trie node at that depth, a band's key, are candidates.
 
 No pair is ever a row.  A node's candidates meet at its *pivot*, the node's least text; a text goes once to
 each of its pivots, however many nodes they share, and a task there intersects the shingle sets of all that
