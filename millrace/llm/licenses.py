@@ -1,7 +1,7 @@
 """License scans by a positional index of rare tokens.
 
-Templates are short licence notices, each with one or more mandatory key phrases.  The index posts every
-template word with its positions.  Words are weighted by inverse document frequency over the whole
+Templates are short licence notices, each with one or more mandatory key phrases.  The index
+numbers the template words and keeps no postings: every phrase of every template is searched.  Words are weighted by inverse document frequency over the whole
 corpus (one count per template word comes to the driver).  For each phrase the words are looked up rarest
 first: the text's places of the rarest word, less its place in the phrase, are candidate starts, and the
 places of each next word are intersected with them at their relative positions, until all words of the
