@@ -1,12 +1,14 @@
 """License scans by a positional index of rare tokens.
 
-Templates are short licence notices, each with one or more mandatory key phrases.  The index
-numbers the template words and keeps no postings: every phrase of every template is searched.  Words are weighted by inverse document frequency over the whole
-corpus (one count per template word comes to the driver).  For each phrase the words are looked up rarest
-first: the text's places of the rarest word, less its place in the phrase, are candidate starts, and the
-places of each next word are intersected with them at their relative positions, until all words of the
-phrase are verified at one start.  Around a verified phrase the rest of its template is matched at relative
-positions; the score is the matched share of the template's weight, the best over its places.
+Templates are short licence notices, each with one or more mandatory key phrases.  The index posts every phrase of
+every template under its words, with the word's place in the phrase.  Words are weighted by inverse document
+frequency over the whole corpus (one count per template word comes to the driver), and a phrase's postings are ranked
+from its rarest word on.  In a file only its highest-IDF licence words are looked up, those under which a phrase is posted first: each
+place of one, less the place posted, is a candidate start of the phrase.  The candidates of all templates are then
+intersected with the postings of the next rarest word at its relative position, and so on, until all words of a
+mandatory phrase are verified at one start.  Around a verified phrase the rest of its template is matched at relative
+positions; the score is the matched share of the template's weight, the best over its places.  Work grows with the places of rare words, not
+with the number of templates.
 
 Every place counts: nothing is cut from a text, and no word is passed over.
 
@@ -67,36 +69,57 @@ def word_hash(word: str) -> int:
 
 
 class Index:
-    """Template words in a fixed order, and the templates as word numbers."""
+    """Template words in a fixed order, and postings of the templates' phrases."""
 
     def __init__(self, templates: tuple[Template, ...] = TEMPLATES):
         self.templates = templates
         self.words = sorted({w for t in templates for s in (*t.phrases, t.notice) for w in s.split()})
-        self.number = {w: i for i, w in enumerate(self.words)}
+        number = {w: i for i, w in enumerate(self.words)}
         h = np.array([word_hash(w) for w in self.words], dtype=np.uint64)
         self.order = np.argsort(h)
         self.sorted = h[self.order]
-        self.phrases = [[[self.number[w] for w in p.split()] for p in t.phrases] for t in templates]
-        self.notices = [[self.number[w] for w in t.notice.split()] for t in templates]
+        self.phrases = [[number[w] for w in p.split()] for t in templates for p in t.phrases]
+        self.template = np.array([i for i, t in enumerate(templates) for _ in t.phrases])
+        self.length = np.array([len(p) for p in self.phrases])
+        notices = [[number[w] for w in t.notice.split()] for t in templates]
+        self.notice = np.full((len(templates), max(map(len, notices))), -2)  # -2 is no word's number
+        for i, words in enumerate(notices):
+            self.notice[i, : len(words)] = words
+        #: Where each phrase stands in its template's notice, -1 if it doesn't.
+        self.offset = np.array([next((i for i in range(len(notices[t])) if notices[t][i : i + len(p)] == p), -1) for t, p in zip(self.template.tolist(), self.phrases, strict=True)])
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word, -1 for words of no template."""
         at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
         return np.where(self.sorted[at] == hashes, self.order[at], -1)
 
-    def lookup(self, n: np.ndarray, owner: np.ndarray, phrase: list[int], idf: np.ndarray, places: dict[int, np.ndarray]) -> np.ndarray:
-        """Starts of the phrase, by intersecting its words' places from the rarest word on."""
-        first, *rest = sorted(range(len(phrase)), key=lambda j: (-idf[phrase[j]], j))
-        for w in phrase:
-            if w not in places:
-                places[w] = np.flatnonzero(n == w)
-        start = places[phrase[first]] - first
-        start = start[(start >= 0) & (start + len(phrase) <= len(n))]
-        for j in rest:
-            if not len(start):
-                break
-            start = start[n[start + j] == phrase[j]]
-        return start[owner[start] == owner[start + len(phrase) - 1]] if len(start) else start
+    def post(self, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each rank, the word and the place that each phrase is posted with, rarest words first; -1 past its last."""
+        ranked = [sorted(range(len(p)), key=lambda j: (-idf[p[j]], j)) for p in self.phrases]
+        out = []
+        for rank in range(int(self.length.max())):
+            place = np.array([r[rank] if rank < len(r) else -1 for r in ranked])
+            out.append((np.array([p[j] if j >= 0 else -1 for p, j in zip(self.phrases, place.tolist(), strict=True)]), place))
+        return out
+
+    def lookup(self, n: np.ndarray, owner: np.ndarray, postings: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """All (phrase, start) that stand in the texts, by intersecting postings from the rarest words on."""
+        (word, place), *rest = postings
+        by_word = np.argsort(word, kind="stable")
+        begin = np.searchsorted(word[by_word], np.arange(len(self.words) + 1))
+        some = np.flatnonzero(n >= 0)
+        count = (begin[1:] - begin[:-1])[n[some]]
+        at = np.repeat(some, count)
+        phrase = by_word[np.repeat(begin[n[some]] - np.cumsum(count) + count, count) + np.arange(len(at))]
+        start = at - place[phrase]
+        ok = (start >= 0) & (start + self.length[phrase] <= len(n))
+        phrase, start = phrase[ok], start[ok]
+        ok = owner[start] == owner[start + self.length[phrase] - 1]
+        phrase, start = phrase[ok], start[ok]
+        for word, place in rest:
+            ok = (place[phrase] < 0) | (n[start + np.maximum(place[phrase], 0)] == word[phrase])
+            phrase, start = phrase[ok], start[ok]
+        return phrase, start
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch], index: Index) -> Iterator[pa.RecordBatch]:
@@ -124,39 +147,28 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index, idf: np.ndarray, sche
     labels = np.array([t.label for t in index.templates], dtype=object)
     base = np.array([t.base for t in index.templates])
     by_name = np.argsort(labels)
+    postings = index.post(idf)
+    weight = np.where(index.notice >= 0, idf[index.notice], 0.0)
     for batch in batches:
         ids = batch.column(0)
         for p in pieces(batch.column(1)):
             m = p.hi - p.lo
             n, owner = index.numbers(p.hashes), p.owner
-            places: dict[int, np.ndarray] = {}
-            n_base, found = np.zeros(m, dtype=np.int64), np.zeros((m, len(labels)), dtype=bool)
+            phrase, start = index.lookup(n, owner, postings)
+            doc, t = owner[start], index.template[phrase]
+            found, score = np.zeros((m, len(labels)), dtype=bool), np.zeros(m)
+            found[doc, t] = True
+            n_base = np.bincount(doc[base[t]], minlength=m)
             first, last = np.full(m, np.iinfo(np.int64).max), np.full(m, -1)
-            score = np.zeros(m)
-            for t, template in enumerate(index.templates):
-                notice = np.array(index.notices[t])
-                weight = idf[notice]
-                for phrase in index.phrases[t]:
-                    start = index.lookup(n, owner, phrase, idf, places)
-                    if not len(start):
-                        continue
-                    doc = owner[start]
-                    found[doc, t] = True
-                    if template.base:
-                        n_base += np.bincount(doc, minlength=m)
-                        own = start - p.first[:-1][doc]
-                        np.minimum.at(first, doc, own)
-                        np.maximum.at(last, doc, own)
-                    offset = next((i for i in range(len(notice) - len(phrase) + 1) if notice[i : i + len(phrase)].tolist() == phrase), None)
-                    if offset is None:  # a phrase that the notice doesn't hold vouches for itself
-                        np.maximum.at(score, doc, 1.0)
-                        continue
-                    matched = np.zeros(len(start))
-                    for i, w in enumerate(notice):
-                        at = start - offset + i
-                        ok = (at >= p.first[:-1][doc]) & (at < p.first[1:][doc])
-                        matched += weight[i] * (ok & (n[np.clip(at, 0, len(n) - 1)] == w))
-                    np.maximum.at(score, doc, matched / weight.sum())
+            own = (start - p.first[:-1][doc])[base[t]]
+            np.minimum.at(first, doc[base[t]], own)
+            np.maximum.at(last, doc[base[t]], own)
+            matched, begin = np.zeros(len(start)), start - index.offset[phrase]
+            for i in range(index.notice.shape[1]):
+                ok = (begin + i >= p.first[:-1][doc]) & (begin + i < p.first[1:][doc])
+                matched += weight[t, i] * (ok & (n[np.clip(begin + i, 0, len(n) - 1)] == index.notice[t, i]))
+            # a phrase that the notice doesn't hold vouches for itself
+            np.maximum.at(score, doc, np.where(index.offset[phrase] < 0, 1.0, matched / weight.sum(axis=1)[t]))
             base_labels, all_labels = [""] * m, [""] * m
             for i in np.flatnonzero(found.any(axis=1)).tolist():
                 own = by_name[found[i, by_name]]
