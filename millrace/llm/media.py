@@ -3,11 +3,16 @@
 The format's unit is a DCT coefficient: each 8x8 block of a baseline JPEG frame holds 64 payload bytes as
 its 64 quantized coefficients, so nothing is lost.  A restart marker after each block makes the DC value
 absolute.  Both Huffman tables hold one symbol (no run, eight bits), so byte v is stored as the eight
-magnitude bits of a coefficient; decoding reads the tables from the file and accepts no others.
+magnitude bits of a coefficient.
 
-A row's frames are decoded by way of the ``idx1`` index.  Shots end where the difference of successive
-frames' sample histograms exceeds the mean plus ``SIGMAS`` deviations of the differences before it; the
-first difference is held against those after it, and an only one against ``LEAST`` alone.
+A file's frames are found by way of the ``idx1`` index.  Any baseline JPEG is decoded (``decode_frame``): Huffman codes of the
+frame's own tables, dequantizing, inverse DCT, one to four components, sampling factors, restart intervals.  Frames of the form
+that ``encode_avi`` writes take the same steps for all their blocks at once.  Progressive frames, 12-bit samples
+and frames that leave their tables out are refused (ValueError).
+
+Shots end where the difference of successive frames' histograms of first-component pixels (luma) exceeds the mean plus ``SIGMAS``
+deviations of the differences before it; the first difference is held against those after it, and an only
+one against ``LEAST`` alone.  Blocks that only fill up a payload's last frame don't count.
 
 A null text counts as empty; an empty payload is padded to 64 zero bytes; null and repeated ids are carried
 along; an empty table gives no rows; other columns are ignored.
@@ -19,6 +24,7 @@ import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +40,9 @@ BLOCK = 64
 SIDE, BLOCKS = 32, 16
 FRAME_MS = 40
 BINS = 32
-#: Deviations above the mean, the differences looked back on, and the least difference that can end a shot.
-SIGMAS, LOOK_BACK, LEAST = 3.0, 8, 0.08
+#: Deviations above the mean, the differences looked back on, and the least difference that can end a shot: twice what
+#: chance gives between frames of a thousand pixels, sqrt(BINS / (pi * 1024)).
+SIGMAS, LOOK_BACK, LEAST = 3.0, 8, 0.2
 
 
 def _segment(marker: int, body: bytes) -> bytes:
@@ -124,32 +131,173 @@ def riff_chunks(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, in
         at = stop + (size & 1)
 
 
-def scan_begin(frame: bytes) -> int:
-    """Where the entropy-coded data of a JPEG begin; its tables must be those that this format takes."""
+#: Row and column of a block's coefficients in the order of the stream: along diagonals, in turn down and up.
+ZIGZAG = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (x[0] + x[1], x[0] if (x[0] + x[1]) % 2 else -x[0]))
+
+
+def _basis() -> np.ndarray:
+    """Pixels (rows of 64) of each coefficient in the order of the stream."""
+    wave = np.cos(np.outer(2 * np.arange(8) + 1, np.arange(8)) * np.pi / 16) / 2
+    wave[:, 0] /= np.sqrt(2)
+    return np.stack([np.outer(wave[:, r], wave[:, c]).reshape(64) for r, c in ZIGZAG]).astype(np.float32)
+
+
+BASIS = _basis()
+
+
+def pixels(coefficients: np.ndarray, quant: np.ndarray) -> np.ndarray:
+    """The blocks' 64 samples, row by row, by dequantizing and inverse DCT."""
+    return np.clip(np.rint((coefficients * quant).astype(np.float32) @ BASIS + 128), 0, 255).astype(np.uint8)
+
+
+@dataclass
+class Header:
+    """What a frame's segments say before its entropy-coded data, which begin at ``scan``."""
+
+    height: int
+    width: int
+    parts: list[tuple[int, int, int, int]]  # component, horizontal and vertical sampling factor, quantization table
+    order: list[tuple[int, int, int]]  # component, DC table, AC table
+    quant: dict[int, np.ndarray]
+    tables: dict[int, bytes]
+    interval: int
+    scan: int
+
+
+def read_header(frame: bytes) -> Header:
     if frame[:2] != b"\xff\xd8":
         raise ValueError("not a JPEG")
-    at, tables, interval, blocks = 2, {}, 0, 0
-    while True:
+    at, tables, quant, interval, size = 2, {}, {}, 0, None
+    while at + 4 <= len(frame):
         if frame[at] != 0xFF:
             raise ValueError("a JPEG marker is missing")
-        marker, size = frame[at + 1], struct.unpack_from(">H", frame, at + 2)[0]
-        body = frame[at + 4 : at + 2 + size]
-        if marker == 0xC0:
-            height, width = struct.unpack_from(">HH", body, 1)
-            blocks = height // 8 * (width // 8)
-        elif marker == 0xC4:
-            tables[body[0]] = body[1:]
-        elif marker == 0xDD:
+        marker = frame[at + 1]
+        if marker == 0xFF:  # fill
+            at += 1
+            continue
+        length = struct.unpack_from(">H", frame, at + 2)[0]
+        body = frame[at + 4 : at + 2 + length]
+        if marker in (0xC0, 0xC1):
+            bits, height, width, n = struct.unpack_from(">BHHB", body)
+            if bits != 8:
+                raise ValueError("not a JPEG of 8-bit samples")
+            size = height, width, [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+        elif 0xC0 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            raise ValueError("not a baseline JPEG")
+        while body and marker == 0xDB:
+            wide = body[0] >> 4
+            quant[body[0] & 15] = np.frombuffer(body, dtype=">u2" if wide else "u1", count=64, offset=1).astype(np.int64)
+            body = body[1 + 64 * (1 + wide) :]
+        while body and marker == 0xC4:
+            n = 17 + sum(body[1:17])
+            tables[body[0]], body = body[1:n], body[n:]
+        if marker == 0xDD:
             interval = struct.unpack(">H", body)[0]
-        elif marker == 0xDA:
-            if tables != {0x00: _ONE_CODE, 0x10: _ONE_CODE} or interval != 1 or blocks != BLOCKS:
-                raise ValueError("a JPEG of another kind")
-            return at + 2 + size
-        at += 2 + size
+        if marker == 0xDA:
+            order = [(body[1 + 2 * i], body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])]
+            if size is None or len(order) != len(size[2]) or any(p[3] not in quant for p in size[2]) or any(dc not in tables or 16 + ac not in tables for _, dc, ac in order):
+                raise ValueError("a JPEG without its tables, or in several scans")
+            return Header(*size, order, quant, tables, interval, at + 2 + length)
+        at += 2 + length
+    raise ValueError("a JPEG without image data")
+
+
+def _codes(table: bytes) -> dict[tuple[int, int], int]:
+    """(length, code) to symbol, codes counting up from length to length."""
+    out, code, at = {}, 0, 16
+    for length in range(1, 17):
+        for _ in range(table[length - 1]):
+            out[length, code] = table[at]
+            code, at = code + 1, at + 1
+        code <<= 1
+    return out
+
+
+class _Bits:
+    def __init__(self, data: bytes):
+        self.bits, self.at = np.unpackbits(np.frombuffer(data, dtype=np.uint8)).tolist(), 0
+
+    def symbol(self, codes: dict[tuple[int, int], int]) -> int:
+        code = 0
+        for length in range(1, 17):
+            code = code << 1 | self.one()
+            if (length, code) in codes:
+                return codes[length, code]
+        raise ValueError("a code that the Huffman tables don't hold")
+
+    def one(self) -> int:
+        if self.at >= len(self.bits):
+            raise ValueError("a JPEG's data end too early")
+        self.at += 1
+        return self.bits[self.at - 1]
+
+    def value(self, size: int) -> int:
+        v = 0
+        for _ in range(size):
+            v = v << 1 | self.one()
+        return v if not size or v >> (size - 1) else v - (1 << size) + 1
+
+
+def _intervals(scan: bytes) -> list[bytes]:
+    """Entropy-coded data between restart markers, without stuffed zeros."""
+    out, begin, at = [], 0, 0
+    while (at := scan.find(b"\xff", at)) >= 0 and at + 1 < len(scan):
+        if scan[at + 1] == 0 or scan[at + 1] == 0xFF:
+            at += 1 + (scan[at + 1] == 0)
+            continue
+        out.append(scan[begin:at].replace(b"\xff\0", b"\xff"))
+        begin = at = at + 2
+        if not 0xD0 <= scan[at - 1] <= 0xD7:
+            return out
+    return [*out, scan[begin:].replace(b"\xff\0", b"\xff")]
+
+
+def decode_frame(frame: bytes) -> list[np.ndarray]:
+    """Each component's samples, as many as its sampling factors give it of the frame's size."""
+    head = read_header(frame)
+    factors = {i: (h, v) for i, h, v, _ in head.parts}
+    wide, high = max(h for h, _ in factors.values()), max(v for _, v in factors.values())
+    across, down = -(-head.width // (8 * wide)), -(-head.height // (8 * high))
+    if len(head.parts) == 1:  # a single component is not interleaved
+        factors = {head.parts[0][0]: (1, 1)}
+        wide = high = 1
+        across, down = -(-head.width // 8), -(-head.height // 8)
+    codes = {k: _codes(t) for k, t in head.tables.items()}
+    found = {i: np.zeros((down * v, across * h, 64), dtype=np.int64) for i, (h, v) in factors.items()}
+    units, per = across * down, head.interval or across * down
+    for n, data in enumerate(_intervals(frame[head.scan :])[: -(-units // per)]):
+        bits, last = _Bits(data), dict.fromkeys(factors, 0)
+        for unit in range(n * per, min(units, (n + 1) * per)):
+            for i, dc, ac in head.order:
+                h, v = factors[i]
+                for k in range(h * v):
+                    block = found[i][unit // across * v + k // h, unit % across * h + k % h]
+                    last[i] += bits.value(bits.symbol(codes[dc]))
+                    block[0], at = last[i], 1
+                    while at < 64:
+                        run, size = divmod(bits.symbol(codes[16 + ac]), 16)
+                        if not size and run < 15:
+                            break  # the rest of the block is zero
+                        at += run
+                        if at > 63:
+                            raise ValueError("a JPEG block with too many coefficients")
+                        block[at] = bits.value(size)
+                        at += 1
+    out = []
+    for i, _, _, q in head.parts:
+        h, v = factors[i]
+        rows, columns = found[i].shape[:2]
+        plane = pixels(found[i].reshape(-1, 64), head.quant[q]).reshape(rows, columns, 8, 8).swapaxes(1, 2).reshape(rows * 8, columns * 8)
+        out.append(plane[: -(-head.height * v // high), : -(-head.width * h // wide)])
+    return out
+
+
+def _is_own(head: Header) -> bool:
+    return head.tables == {0x00: _ONE_CODE, 0x10: _ONE_CODE} and head.interval == 1 and len(head.parts) == 1 and (head.height, head.width) == (SIDE, SIDE)
 
 
 def decode_scan(scan: np.ndarray) -> np.ndarray:
-    """Coefficient bytes of one frame's entropy-coded data."""
+    """Coefficient bytes of one own frame's entropy-coded data."""
     marks = np.flatnonzero(scan[:-1] == 0xFF)
     scan = np.delete(scan, marks[scan[marks + 1] == 0] + 1).reshape(BLOCKS, 2 * BLOCK + 2)
     return _coefficients(scan[None])[0]
@@ -161,35 +309,62 @@ def _coefficients(scan: np.ndarray) -> np.ndarray:
     return scan[:, :, 1 : 2 * BLOCK : 2].reshape(len(scan), -1)
 
 
-def decode_avi(data: bytes) -> tuple[bytes, np.ndarray]:
-    """The payload, and the samples of all frames (one row each)."""
+def _stored(payload: np.ndarray, quant: np.ndarray) -> np.ndarray:
+    """Pixels of own frames: a byte's eight bits are those of a coefficient of that size."""
+    value = payload.astype(np.int16)
+    return pixels(np.where(value < 128, value - 255, value).reshape(-1, BLOCK), quant).reshape(payload.shape)
+
+
+@dataclass
+class Film:
+    payload: bytes | None  # of own files
+    histograms: np.ndarray  # one row per frame, each with sum 1
+    frame_ms: float
+
+
+def _histogram(samples: np.ndarray) -> np.ndarray:
+    return np.bincount(samples.reshape(-1) >> 3, minlength=BINS) / max(samples.size, 1)
+
+
+def decode_avi(data: bytes) -> Film:
     (kind, at, end), *_ = riff_chunks(data, 0, len(data))
     if kind != b"AVI ":
         raise ValueError("not an AVI file")
     found = {name: (a, b) for name, a, b in riff_chunks(data, at, end)}
-    length = next(int(data[a:b].rstrip(b"\0").split()[-1]) for name, a, b in riff_chunks(data, *found[b"INFO"]) if name == b"ICMT")
-    index = np.frombuffer(data, dtype="<u4", count=(found[b"idx1"][1] - found[b"idx1"][0]) // 4, offset=found[b"idx1"][0]).reshape(-1, 4)
-    begin = found[b"movi"][0] - 4 + index[:, 2].astype(np.int64) + 8
-    sizes = index[:, 3].astype(np.int64)
+    length = next((int(data[a:b].rstrip(b"\0").split()[-1]) for name, a, b in riff_chunks(data, *found[b"INFO"]) if name == b"ICMT"), None) if b"INFO" in found else None
+    micros = next(struct.unpack_from("<I", data, a)[0] for name, a, b in riff_chunks(data, *found[b"hdrl"]) if name == b"avih")
+    index = np.frombuffer(data, dtype="<u4", count=(found[b"idx1"][1] - found[b"idx1"][0]) // 16 * 4, offset=found[b"idx1"][0]).reshape(-1, 4)
+    index = index[np.isin(index[:, 0] >> 16, [int.from_bytes(x, "little") for x in (b"dc", b"db")])]  # video only
+    begin, sizes = index[:, 2].astype(np.int64) + 8, index[:, 3].astype(np.int64)
+    if not sizes.any():
+        return Film(None, np.zeros((0, BINS)), micros / 1000)
+    if data[begin[0] - 8 : begin[0] - 4] != int(index[0, 0]).to_bytes(4, "little"):  # places count from the file's begin, or else from the list's name
+        begin += found[b"movi"][0] - 4
+    one = int(np.argmax(sizes > 0))
+    head = read_header(data[begin[one] : begin[one] + sizes[one]])
     raw = np.frombuffer(data, dtype=np.uint8)
-    first = scan_begin(data[begin[0] : begin[0] + sizes[0]])
+    if not _is_own(head) or length is None:
+        rows = []
+        for b, s in zip(begin.tolist(), sizes.tolist(), strict=True):  # an empty frame repeats the one before it
+            rows.append(_histogram(decode_frame(data[b : b + s])[0]) if s else rows[-1] if rows else np.zeros(BINS))
+        return Film(None, np.stack(rows), micros / 1000)
+    first = head.scan
     if (sizes == first + _SCAN).all():  # nothing was stuffed: all frames at once
         frames = raw[begin[:, None] + np.arange(sizes[0])]
         if (frames[:, :first] != frames[0, :first]).any():
             raise ValueError("frames differ in their headers")
-        samples = _coefficients(frames[:, first:].reshape(-1, BLOCKS, 2 * BLOCK + 2))
+        stored = _coefficients(frames[:, first:].reshape(-1, BLOCKS, 2 * BLOCK + 2))
     else:
-        samples = np.stack([decode_scan(raw[b + scan_begin(data[b : b + s]) : b + s]) for b, s in zip(begin.tolist(), sizes.tolist(), strict=True)])
-    return samples.tobytes()[:length], samples
+        stored = np.stack([decode_scan(raw[b + first : b + s]) for b, s in zip(begin.tolist(), sizes.tolist(), strict=True)])
+    n, per = stored.shape
+    samples = _stored(stored, head.quant[head.parts[0][3]]).reshape(-1)[:length]
+    counts = np.bincount((samples >> 3) + np.repeat(np.arange(n) * BINS, per)[:length], minlength=n * BINS).reshape(n, BINS)
+    return Film(stored.tobytes()[:length], counts / np.maximum(counts.sum(axis=1, keepdims=True), 1), micros / 1000)
 
 
-def differences(samples: np.ndarray, length: int) -> np.ndarray:
-    """Between 0 and 1 for each frame and the one before it; only samples of the payload count."""
-    n, per = samples.shape
-    flat = (samples.reshape(-1)[:length] >> 3).astype(np.int64) + np.repeat(np.arange(n) * BINS, per)[:length]
-    hist = np.bincount(flat, minlength=n * BINS).reshape(n, BINS)
-    hist = hist / np.maximum(hist.sum(axis=1, keepdims=True), 1)
-    return np.abs(np.diff(hist, axis=0)).sum(axis=1) / 2
+def differences(histograms: np.ndarray) -> np.ndarray:
+    """Between 0 and 1 for each frame and the one before it."""
+    return np.abs(np.diff(histograms, axis=0)).sum(axis=1) / 2
 
 
 def shots(diff: np.ndarray, frames: int) -> list[tuple[int, int]]:
@@ -202,12 +377,12 @@ def shots(diff: np.ndarray, frames: int) -> list[tuple[int, int]]:
     return list(zip(cuts, [*cuts[1:], frames], strict=True))
 
 
-def analyse(data: bytes) -> tuple[bytes, list[tuple[int, int, float]]]:
-    """The payload read back, and clips: start_ms, end_ms, difference at their start (0 for the first)."""
-    payload, samples = decode_avi(data)
-    diff = differences(samples, len(payload)) if len(samples) > 1 else np.zeros(0)
-    clips = [(a * FRAME_MS, b * FRAME_MS, float(diff[a - 1]) if a else 0.0) for a, b in shots(diff, len(samples))]
-    return payload, clips
+def analyse(data: bytes) -> tuple[bytes | None, list[tuple[int, int, float]]]:
+    """The payload read back (None for a file of another kind), and clips: start_ms, end_ms, difference at their start (0 for the first)."""
+    film = decode_avi(data)
+    diff = differences(film.histograms)
+    clips = [(round(a * film.frame_ms), round(b * film.frame_ms), float(diff[a - 1]) if a else 0.0) for a, b in shots(diff, len(film.histograms))]
+    return film.payload, clips if len(film.histograms) else []
 
 
 def _texts(column: pa.Array) -> Iterator[bytes]:
