@@ -6,8 +6,8 @@ a window's length or more, has a fingerprint in common: none is missed.  An item
 none, is one window of all its words, with its own hash as fingerprint.
 
 1. Documents' distinct fingerprints are exploded and joined with the items' (semi join).
-2. For documents with a hit, hits are extended to all windows that keep such a fingerprint, and those
-   windows' words are compared with the items' windows exactly.
+2. For documents with a hit, hits are extended to all windows that keep such a fingerprint, by a join on document
+   and fingerprint, and those windows' words are compared with the items' windows exactly.
 3. Per document the windows that occur are merged: words in any of them, and the items they belong to.
 
 The items' tables are written first.  Their true size decides whether they are broadcast; above the
@@ -92,16 +92,19 @@ def scan(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
     marked = _with_marks(rows, short)
     prints = F.array_distinct(F.concat("_m", *(f"_s{k}" for k in short)))
     hits = marked.select(*_KEY, F.explode(prints).alias("mark")).join(marks, "mark", "left_semi")
-    hits = written(hits.groupBy(*_KEY).agg(F.collect_set("mark").alias("marks")), "hits")
+    hits = written(hits.distinct(), "hits")
 
     def same(a: str, b: str) -> Column:
         return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.d1") == F.col(f"{b}.d1")) & (F.col(f"{a}.d2") == F.col(f"{b}.d2"))
 
-    hit = rows.alias("r").join(hits.alias("h"), same("r", "h")).select("r.id", "r.d1", "r.d2", "r._text", "h.marks")
-    hit = _with_marks(hit, short)
+    # each different text with a hit once; its windows meet its hits as rows, so that a long text costs in proportion
+    texts = rows.alias("r").join(hits.select(*_KEY).distinct().alias("h"), same("r", "h"), "left_semi").dropDuplicates(_KEY)
+    texts = written(texts, "hit_texts")
     spans = F.concat(_windows("_m", WINDOW), *(_windows(f"_s{k}", k) for k in short))
-    spans = F.filter(spans, lambda s: F.array_contains(F.col("marks"), s["mark"]))
-    full = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size"), s["mark"].alias("mark"), F.array_join(F.slice(F.col("_w"), s["start"] + 1, s["size"]), " ").alias("body")))
+    spans = _with_marks(texts, short).select(*_KEY, F.explode(spans).alias("s"))
+    spans = spans.alias("w").join(hits.alias("h"), same("w", "h") & (F.col("w.s.mark") == F.col("h.mark")), "left_semi").groupBy(*_KEY).agg(F.collect_list("s").alias("spans"))
+    hit = texts.alias("r").join(spans.alias("h"), same("r", "h")).select("r.id", "r.d1", "r.d2", words(F.col("r._text")).alias("_w"), "h.spans")
+    full = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["size"].alias("size"), s["mark"].alias("mark"), F.array_join(F.slice(F.col("_w"), s["start"] + 1, s["size"]), " ").alias("body")))
     found = hit.select(*_KEY, F.explode(full).alias("s")).select(*_KEY, "s.start", "s.size", "s.mark", "s.body").join(known, ["mark", "size", "body"])
     found = found.groupBy(*_KEY).agg(F.array_sort(F.collect_set(F.struct("start", "size"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     covered = F.aggregate(
