@@ -7,7 +7,7 @@ Nystroem feature space, in which one ridge regression per language is fitted, on
 Texts are scored in blocks: presence matrix times landmarks times weights.
 
 Learning takes at most ``SAMPLE`` texts, evenly over at most ``LANGUAGES`` languages, chosen by a hash of
-the id (in expectation; which rows are taken does not depend on partitioning).
+id and text (which rows are taken does not depend on partitioning).  Rarer languages than those are not learned.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, or if nothing could be
 learned; a null id is scored but is neither held out nor learned from; null ``lang`` is never learned;
@@ -131,8 +131,8 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     languages = sorted(r["lang"] for r in counts)
     each = max(1, SAMPLE // len(languages))
     share = F.create_map(*(F.lit(v) for r in counts for v in (r["lang"], min(1.0, each / r["n"]))))
-    key = F.xxhash64(F.col("id").cast("string"), F.lit(20))
-    sample = rows.where(F.pmod(key, F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select(key.alias("key"), "text", "lang")
+    key = F.xxhash64(F.col("id").cast("string"), "text", F.lit(20))
+    sample = rows.where(F.pmod(key, F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20)).select(key.alias("key"), "text", "lang").orderBy("key", "lang").limit(SAMPLE)
     return languages, train_once(sample, lambda batches: _learn(batches, languages))
 
 

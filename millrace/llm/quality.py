@@ -1,14 +1,15 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer numpy network.
 
-Tokens are runs of letters and digits, and runs of symbols, with case kept; each is hashed to one of
-``WORDS`` places, and its shape (case, length, what it touches, whether it repeats the token before it) to one of ``SHAPES``.  Every place has a
-sparse ternary index vector from a fixed seed.  A place's word vector is its index vector plus the
-normalized sum of its neighbours' index vectors within ``WINDOW`` tokens over the sample.  A text's
-features are the means of its tokens' word and shape vectors, their norms, and its length.  The network
-has one hidden layer; a temperature fitted on a part of the sample that it did not see calibrates it.
+Tokens are runs of letters and digits, and runs of symbols, with case kept; each is hashed to one of ``WORDS``
+places.  Every place has a sparse ternary index vector from a fixed seed.  A word's vector is its index vector
+plus the normalized sum of its neighbours' index vectors within ``WINDOW`` tokens over the sample.  A text's features
+are pooled from these vectors: the mean over its tokens, the mean over its different words with logarithms of their
+counts as weights, both means' norms, and how alike successive tokens' vectors are (mean cosine at distances 1 and 2);
+and the logarithm of its length.
+The network has one hidden layer; a temperature fitted on a part of the sample that it did not see calibrates it.
 
-Learning takes at most ``SAMPLE`` labelled rows that aren't held out, those with the least hashes of
-their ids.  Scores depend on the text alone.
+Learning takes at most ``SAMPLE`` rows: those of the ``SAMPLE`` labelled ids that aren't held out with the least
+hashes, and of these, where ids repeat, the rows with the least hashes of id and text.  Scores depend on the text alone.
 
 Defined results: null and empty texts get the score of a text without tokens; ids without a label are
 scored all the same; an id labelled twice counts with its least label; null ids are scored, not learned
@@ -18,6 +19,7 @@ from; without any label the score is 0.5; an empty table gives no rows; other co
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,108 +31,100 @@ from millrace.llm._learn import fold, held_out, train_once
 from millrace.llm._scratch import small_batches, written
 from millrace.llm._words import _BYTE, row_slices, span_hashes, utf8
 
-WORDS, SHAPES = 1 << 14, 256
-DIM, NONZERO, WINDOW = 48, 8, 2
+WORDS = 1 << 14
+DIM, NONZERO, WINDOW = 64, 8, 2
 SAMPLE = 8000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 128, 0.004, 1e-4
 THRESHOLD = 0.7
-N_FEATURES = 2 * DIM + 3
+N_FEATURES = 2 * DIM + 5
+#: Texts of one matrix product.
+BLOCK = 64
 
 _KIND = np.full(256, 2, dtype=np.uint8)  # 0 space, 1 letter or digit, 2 symbol
 _KIND[:33] = 0
 _KIND[48:58] = _KIND[65:91] = _KIND[97:123] = _KIND[128:] = 1
-_UPPER = np.zeros(256, dtype=np.int64)
-_UPPER[65:91] = 1
-_LOWER = np.zeros(256, dtype=np.int64)
-_LOWER[97:123] = 1
-_DIGIT = np.zeros(256, dtype=np.int64)
-_DIGIT[48:58] = 1
 
 
 def index_vectors() -> np.ndarray:
     rng = np.random.default_rng(20)
-    out = np.zeros((WORDS + SHAPES, DIM), dtype=np.float32)
+    out = np.zeros((WORDS, DIM), dtype=np.float32)
     at = np.argsort(rng.random(out.shape), axis=1)[:, :NONZERO]
     out[np.arange(len(out))[:, None], at] = rng.choice([-1.0, 1.0], at.shape)
     return out / np.sqrt(NONZERO)
 
 
-def token_places(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows lo to hi, each token's word place and shape place, and each text's first token."""
+@dataclass
+class Texts:
+    """Rows lo to hi: their tokens' places, each text's first token, and how often it has each place."""
+
+    lo: int
+    hi: int
+    word: np.ndarray
+    first: np.ndarray
+    words: np.ndarray  # (hi - lo) x WORDS
+
+
+def blocks(column: pa.Array) -> Iterator[Texts]:
     data, offsets = utf8(column)
-    for lo, hi in row_slices(offsets):
-        raw = data[offsets[lo] : offsets[hi]]
-        bounds = offsets[lo : hi + 1] - offsets[lo]
-        n = len(raw)
-        kind = _KIND[raw]
-        edge = np.zeros(n + 1, dtype=bool)
-        edge[bounds] = True
-        begin, stop = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
-        if n:
-            begin[1:] = (kind[1:] != kind[:-1]) | edge[1:-1]
-            stop[:-1] = begin[1:]
-        starts, ends = np.flatnonzero(begin & (kind > 0)), np.flatnonzero(stop & (kind > 0)) + 1
-        whole, first = span_hashes(_BYTE[raw], starts, ends), np.searchsorted(starts, bounds)
-        word = (whole >> np.uint64(50)).astype(np.int64)
-        again = np.zeros(len(starts), dtype=bool)  # the token before it, once more
-        again[1:] = whole[1:] == whole[:-1]
-        again[first[first < len(starts)]] = False
-
-        def total(table: np.ndarray) -> np.ndarray:
-            sums = np.zeros(n + 1, dtype=np.int64)
-            np.cumsum(table[raw], out=sums[1:])
-            return sums[ends] - sums[starts]
-
-        size = ends - starts
-        upper, lower, digit = total(_UPPER), total(_LOWER), total(_DIGIT)
-        case = np.where(digit == size, 4, np.where(upper == 0, 0, np.where(lower == 0, np.where(size > 1, 3, 2), np.where(upper == 1, 1, 5))))
-        length = np.minimum(np.searchsorted([2, 4, 8], size), 3)
-        touched = np.zeros(len(starts), dtype=np.int64)
-        if len(starts) > 1:
-            touched[:-1] = (ends[:-1] == starts[1:]) & ~edge[ends[:-1]]
-        first_byte = raw[starts].astype(np.int64) if len(starts) else np.zeros(0, np.int64)
-        symbol = 64 + (first_byte & 63) * 3 + np.minimum(size - 1, 2)
-        shape = WORDS + np.where(kind[starts] == 2 if len(starts) else False, np.minimum(symbol, SHAPES - 1), np.where(again, 48 + length, case * 8 + length * 2 + touched))
-        yield lo, hi, word, shape, first
+    for begin, end in row_slices(offsets):
+        for lo in range(begin, end, BLOCK):
+            hi = min(end, lo + BLOCK)
+            raw = data[offsets[lo] : offsets[hi]]
+            bounds = offsets[lo : hi + 1] - offsets[lo]
+            n, m = len(raw), hi - lo
+            kind = _KIND[raw]
+            edge = np.zeros(n + 1, dtype=bool)
+            edge[bounds] = True
+            starting, stop = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
+            if n:
+                starting[1:] = (kind[1:] != kind[:-1]) | edge[1:-1]
+                stop[:-1] = starting[1:]
+            starts, ends = np.flatnonzero(starting & (kind > 0)), np.flatnonzero(stop & (kind > 0)) + 1
+            first = np.searchsorted(starts, bounds)
+            word = (span_hashes(_BYTE[raw], starts, ends) >> np.uint64(50)).astype(np.int64)
+            owner = np.repeat(np.arange(m), np.diff(first))
+            words = np.bincount(owner * WORDS + word, minlength=m * WORDS).reshape(m, WORDS).astype(np.float32)
+            yield Texts(lo, hi, word, first, words)
+
+
+def _mean(weights: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    return weights @ vectors / np.maximum(weights.sum(axis=1, keepdims=True), 1)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
-    """Word vectors of all places, from one pass over the sample."""
+    """Vectors of all places, from one pass over the sample."""
     index = index_vectors()
     seen = np.zeros_like(index)
     for batch in batches:
-        for _, _, word, shape, first in token_places(batch.column(1)):
-            owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
-            near = np.zeros((len(word), DIM), dtype=np.float32)
+        for t in blocks(batch.column(1)):
+            if not len(t.word):
+                continue
+            owner = np.repeat(np.arange(t.hi - t.lo), np.diff(t.first))
+            near = np.zeros((len(t.word), DIM), dtype=np.float32)
             for d in range(1, WINDOW + 1):
                 same = (owner[d:] == owner[:-d])[:, None]
-                near[d:] += index[word[:-d]] * same
-                near[:-d] += index[word[d:]] * same
-            for place in (word, shape):
-                order = np.argsort(place, kind="stable")
-                if len(order):
-                    heads = np.flatnonzero(np.r_[True, np.diff(place[order]) > 0])
-                    seen[place[order][heads]] += np.add.reduceat(near[order], heads, axis=0)
+                near[d:] += index[t.word[:-d]] * same
+                near[:-d] += index[t.word[d:]] * same
+            order = np.argsort(t.word, kind="stable")
+            heads = np.flatnonzero(np.r_[True, np.diff(t.word[order]) > 0])
+            seen[t.word[order][heads]] += np.add.reduceat(near[order], heads, axis=0)
     norm = np.linalg.norm(seen, axis=1, keepdims=True)
     return index + seen / np.where(norm > 0, norm, 1)
 
 
 def features(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     out = np.zeros((len(column), N_FEATURES))
-    for lo, hi, word, shape, first in token_places(column):
-        n = np.diff(first)
-        full = np.flatnonzero(n)
-        for j, place in enumerate((word, shape)):
-            if len(full):
-                mean = np.zeros((hi - lo, DIM))
-                heads = first[:-1][full]
-                for a in range(0, DIM, 16):  # sixteen columns at a time bound the memory
-                    mean[full, a : a + 16] = np.add.reduceat(vectors[place, a : a + 16], heads, axis=0)
-                mean[full] /= n[full][:, None]
-                out[lo:hi, j * DIM : (j + 1) * DIM] = mean
-        out[lo:hi, -3] = np.linalg.norm(out[lo:hi, :DIM], axis=1)
-        out[lo:hi, -2] = np.linalg.norm(out[lo:hi, DIM : 2 * DIM], axis=1)
-        out[lo:hi, -1] = np.log1p(n)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    for t in blocks(column):
+        m = t.hi - t.lo
+        pooled = [_mean(t.words, vectors), _mean(np.log1p(t.words), vectors)]
+        n, owner = np.diff(t.first), np.repeat(np.arange(m), np.diff(t.first))
+        alike = []
+        for d in (1, 2):
+            pairs = np.flatnonzero(owner[d:] == owner[:-d])
+            product = np.einsum("ij,ij->i", unit[t.word[pairs]], unit[t.word[pairs + d]])
+            alike.append(np.bincount(owner[pairs], product, minlength=m) / np.maximum(n - d, 1))
+        out[t.lo : t.hi] = np.hstack([*pooled, *(np.linalg.norm(x, axis=1)[:, None] for x in pooled), np.stack([*alike, np.log1p(n)], axis=1)])
     return out
 
 
@@ -145,6 +139,15 @@ def probability(model: dict | None, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logits(model, x) / model["temperature"], -30, 30)))
 
 
+def gradient(model: dict, z: np.ndarray, y: np.ndarray) -> dict:
+    """Of the mean logistic loss over standardized rows."""
+    hidden = np.tanh(z @ model["w1"] + model["b1"])
+    p = 1 / (1 + np.exp(-np.clip((hidden @ model["w2"])[:, 0] + model["b2"], -30, 30)))
+    d = ((p - y) / len(y))[:, None]
+    back = (d @ model["w2"].T) * (1 - hidden**2)
+    return {"w2": hidden.T @ d, "b2": d.sum(axis=0), "w1": z.T @ back, "b1": back.sum(axis=0)}
+
+
 def fit(x: np.ndarray, y: np.ndarray) -> dict | None:
     """Adam on the logistic loss over 85 in 100 rows; the others choose the temperature."""
     if not len(x):
@@ -161,11 +164,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> dict | None:
         order = rng.permutation(cut)
         for i in range(0, cut, BATCH):
             at = order[i : i + BATCH]
-            hidden = np.tanh(z[at] @ model["w1"] + model["b1"])
-            p = 1 / (1 + np.exp(-np.clip((hidden @ model["w2"])[:, 0] + model["b2"], -30, 30)))
-            d = ((p - y[at]) / len(at))[:, None]
-            back = (d @ model["w2"].T) * (1 - hidden**2)
-            grad = {"w2": hidden.T @ d, "b2": d.sum(axis=0), "w1": z[at].T @ back, "b1": back.sum(axis=0)}
+            grad = gradient(model, z[at], y[at])
             step += 1
             for k in names:
                 g = grad[k] + DECAY * model[k]
@@ -198,7 +197,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("long").alias("y")).where(F.col("y").isin(0, 1) & (fold("id") != 2)).groupBy("id").agg(F.min("y").alias("y"))
     chosen = known.select("id", "y", key.alias("key")).orderBy("key", "id").limit(SAMPLE)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    sample = written(rows.join(F.broadcast(chosen), "id").select("key", "text", "y"), "quality")  # at most SAMPLE ids are broadcast
+    sample = written(rows.join(F.broadcast(chosen), "id").select("key", "text", "y").orderBy(F.xxhash64("key", "text"), "y").limit(SAMPLE), "quality")  # at most SAMPLE ids are broadcast
     vectors = train_once(sample, _neighbours)
     if vectors is None:
         vectors = index_vectors()
@@ -219,7 +218,7 @@ def score(docs: DataFrame, vectors: np.ndarray, model: dict | None, *, id_col: s
 
     spark = docs.sparkSession
     small_batches(spark)
-    held = spark.sparkContext.broadcast((vectors, model))  # (WORDS + SHAPES) x DIM floats
+    held = spark.sparkContext.broadcast((vectors, model))  # WORDS x DIM floats
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     arrow = to_arrow_schema(schema)
 
