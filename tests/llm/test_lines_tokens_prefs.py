@@ -10,27 +10,43 @@ from tokenizers import Tokenizer
 from millrace.llm import catalog, linededup, prefs, tokens
 
 
+def boilerplate(rows):
+    """(host, line) that stand on more than a tenth and two or more of the host's different pages."""
+    total, holds = Counter(), Counter()
+    for s, t in {(s, t) for _, t, _, s, *_ in rows if t is not None}:
+        total[s] += 1
+        holds.update({(s, x.strip(" \t\r")) for x in t.split("\n") if x.strip(" \t\r")})
+    return {k for k, n in holds.items() if n >= 2 and 10 * n > total[k[0]]}
+
+
 def test_lines_against_plain(spark):
-    rows = [(i, f"page {i}\n  Menu\t\nline {i}\n\nMenu" + ("\nrare" if i < 3 else ""), "en", "s") for i in range(20)] + [(100 + i, f"Menu\nother {i}", "en", None) for i in range(12)] + [(200, "Menu\nalone", "en", "t"), *TEXTS]
-    total, holds = Counter(s for *_, s in rows), Counter()
-    for _, t, _, s in rows:
-        holds.update({(s, x.strip(" \t\r")) for x in (t or "").split("\n") if x.strip(" \t\r")})
-    bad = {k for k, n in holds.items() if n >= linededup.LEAST_PAGES and n > linededup.RATIO * total[k[0]]}
+    rows = [(i, f"page {i}\n  Menu\t\nline {i}\n\nMenu" + ("\nrare" if i < 3 else "\nonce" * (i == 7)), "en", "s") for i in range(40)] + [(100 + i, f"Menu\nother {i}", "en", None) for i in range(12)] + [(200, "Menu\nalone", "en", "t"), *TEXTS]
+    rows += [(300 + i, "copies of\na page", "en", "u") for i in range(5)] + [(310 + i, f"own {i}\nFoot" if i < 2 else f"own {i}", "en", "u") for i in range(4)]
+    bad = boilerplate(rows)
     want = sorted(repr((i, 0, 0, None) if t is None else (i, len(t.split("\n")), sum((s, x.strip(" \t\r")) in bad for x in t.split("\n")), "\n".join(x for x in t.split("\n") if (s, x.strip(" \t\r")) not in bad))) for i, t, _, s in rows)
     docs = documents(spark, rows)
     assert sorted(repr(tuple(r)) for r in linededup.report(docs).collect()) == want
-    assert bad == {("s", "Menu"), (None, "Menu")}
+    assert {x for x in bad if x[0] in ("s", "u", None)} == {("s", "Menu"), (None, "Menu"), ("u", "Foot")}
     assert linededup.cleaned(docs).columns == docs.columns
     assert linededup.report(documents(spark, [])).count() == 0
 
 
+def test_lines_beside_columns_of_any_name(spark):
+    rows = [(i, f"Menu\npage {i}", f"http://Shop.test:80/{i}", 1, 2, 3, 4) for i in range(4)] + [(8, "Menu\nalone", "https://u@other.test/x", 1, 2, 3, 4), (9, "Menu\nelse", "no url", 1, 2, 3, 4)]
+    pages = spark.createDataFrame(rows, "page_id long, html string, url string, _host int, lines int, bad_lines int, n_lines long")
+    options = {"text_col": "html", "url_col": "url"}
+    assert sorted(tuple(r) for r in linededup.report(pages, id_col="page_id", **options).collect()) == [*((i, 2, 1, f"page {i}") for i in range(4)), (8, 2, 0, "Menu\nalone"), (9, 2, 0, "Menu\nelse")]
+    kept = linededup.cleaned(pages, length_col="n_lines", **options)
+    assert kept.columns == pages.columns and sorted((r.page_id, r.lines, r.n_lines) for r in kept.collect()) == [*((i, 2, 6) for i in range(4)), (8, 2, 4), (9, 2, 4)]
+
+
 def test_small_hosts_lose_lines_too(spark, tmp_path):
-    rows = [(i, f"Menu\npage {i}", "en", "s") for i in range(4)] + [(9, "Menu\nalone", "en", "t")]
+    rows = [(i, f"Menu\npage {i}", "en", "s") for i in range(4)] + [(9, "Menu\nalone", "en", "t"), (10, None, "en", "t"), (11, "Menu\npage 1", "en", "s")]
     documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
-    got = sorted(tuple(r) for r in catalog.queries()["op8_lines_whole"](spark, str(tmp_path)).collect())
-    assert got == [*((i, 2, 1, f"page {i}") for i in range(4)), (9, 2, 0, "Menu\nalone")]
+    got = sorted(tuple(r) for r in catalog.queries()["op8_lines"](spark, str(tmp_path)).collect())
+    assert got == [*((i, 2, 1, f"page {i}") for i in range(4)), (9, 2, 0, "Menu\nalone"), (10, 0, 0, None), (11, 2, 1, "page 1")]
     duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
-    assert sorted(duckdb.sql(catalog.oracle_sql()["op8_lines_whole"]).fetchall()) == got
+    assert sorted(duckdb.sql(catalog.oracle_sql()["op8_lines"]).fetchall()) == got
 
 
 @pytest.mark.parametrize("rule", tokens.RULES)
