@@ -3,12 +3,15 @@
 Every stage is one operator of ``millrace.llm``: texts whose language can't be told go, boilerplate lines go
 from what is left, one document of each group of near copies stays, documents in which a benchmark
 passage occurs go, and the rest is packed into training sequences.
+
+Defined results: a null or empty text, or one without a letter, goes with the first stage; one that line dedup empties
+stays as an empty text, once.  Rows without an id and rows that share one are told apart by their texts
+until packing.  Repeated rows become one.  Extra columns are carried to the last stage.  Empty documents give no pieces.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from millrace.llm import catalog, decontam, langid, linededup, neardup, pack
 from millrace.llm._scratch import written
@@ -26,13 +29,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops each source's boilerplate lines; ``n_chars`` follows the text where it changed."""
-    cleaned = linededup.clean(docs)
-    length = F.when(F.col("_n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cleaned.withColumn("n_chars", length).select(docs.columns)
+    return linededup.cleaned(docs, length_col="n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each class of near copies."""
+    """Keeps one row of each class of near copies, that of the least id; texts without anything left are one class."""
     return neardup.deduplicated(docs)
 
 
