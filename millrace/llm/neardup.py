@@ -417,7 +417,8 @@ def deduplicated(docs: DataFrame, *, threshold: float = THRESHOLD, words: int =
         return docs[id_col].cast("long").eqNullSafe(these["id"]) & _digest(docs[text_col]).eqNullSafe(these["digest"])
 
     gone, repeated = written(rows.where(~F.col("stays") | F.col("repeated")), "gone"), written(rows.where("repeated"), "repeated")
-    return docs.join(gone, among(gone), "left_anti").union(docs.join(repeated, among(repeated), "left_semi").dropDuplicates([id_col, text_col]))
+    # merged at every size: what goes grows with the documents
+    return docs.join(gone.hint("merge"), among(gone), "left_anti").union(docs.join(repeated, among(repeated), "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def sql(docs: str = "documents") -> str:
