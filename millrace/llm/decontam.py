@@ -98,7 +98,8 @@ def scan(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
         return F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.d1") == F.col(f"{b}.d1")) & (F.col(f"{a}.d2") == F.col(f"{b}.d2"))
 
     # each different text with a hit once; its windows meet its hits as rows, so that a long text costs in proportion
-    texts = rows.alias("r").join(hits.select(*_KEY).distinct().alias("h"), same("r", "h"), "left_semi").dropDuplicates(_KEY)
+    keys = written(hits.select(*_KEY).distinct(), "hit_keys")
+    texts = rows.alias("r").join(keys.alias("h"), same("r", "h"), "left_semi").dropDuplicates(_KEY)
     texts = written(texts, "hit_texts")
     spans = F.concat(_windows("_m", WINDOW), *(_windows(f"_s{k}", k) for k in short))
     spans = _with_marks(texts, short).select(*_KEY, F.explode(spans).alias("s"))
