@@ -24,11 +24,14 @@ def count(x: Column | str | None = None, when: Column | None = None, weight: Col
 
 
 def sum_(x: Column | str, to: str, when: Column | None = None, weight: Column | None = None) -> Column:
-    """SUM in the input's own integer type, wrapping; an exact decimal sum wraps once, as stepwise wrapping would."""
-    value = _gated(x, when).cast("decimal(20,0)")
-    if weight is not None:
-        value = value * weight.cast("decimal(1,0)")
-    return wrap(F.sum(value), to)
+    """SUM in the input's own integer type, wrapping, as stepwise wrapping would.
+
+    Bits 0 to 21, 22 to 43 and 44 to 63 are summed apart as BIGINT, which 2^41 rows can't overflow, and put together once.
+    """
+    value = _gated(x, when).cast("bigint")
+    low, middle, high = value.bitwiseAND(F.lit((1 << 22) - 1)), F.shiftright(value, 22).bitwiseAND(F.lit((1 << 22) - 1)), F.shiftright(value, 44)
+    sums = [F.sum(part if weight is None else part * weight.cast("bigint")).cast("decimal(19,0)") for part in (low, middle, high)]
+    return wrap((sums[0] + sums[1] * F.lit(1 << 22).cast("decimal(7,0)")).cast("decimal(38,0)") + (sums[2] * F.lit(1 << 44).cast("decimal(14,0)")).cast("decimal(38,0)"), to)
 
 
 def sum_double(x: Column | str, when: Column | None = None) -> Column:

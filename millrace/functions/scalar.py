@@ -1,13 +1,15 @@
 """Scalar expressions whose semantics differ from Spark's own.
 
-All are built-in column expressions; none depends on the session's ANSI mode.
+All are built-in column expressions, but for divisions of decimals of unknown types; none depends on the session's ANSI mode.
 """
 
 from __future__ import annotations
 
 import re
+from decimal import ROUND_HALF_UP, Decimal, localcontext
 
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.types import INTEGERS, limits
@@ -63,23 +65,62 @@ def divide(a: Column | str, b: Column | str, to: str) -> Column:
 
 
 def modulo(a: Column | str, b: Column | str) -> Column:
-    """The remainder with the dividend's sign."""
-    return _col(a) % _col(b)
+    """The remainder with the dividend's sign; a zero divisor fails."""
+    return _col(a) % _nonzero(_col(b))
+
+
+def _nonzero(b: Column, to: str | None = None) -> Column:
+    failed = F.raise_error(F.lit("division by zero"))
+    return F.when(b == 0, failed.cast(to) if to else failed).otherwise(b)
 
 
 # -- decimals ------------------------------------------------------------------------------------------
 
+Precision = tuple[int, int]
+
+
+def decimal_op(a: Column | str, op: str, b: Column | str, precision: int, scale: int, *, types: tuple[Precision, Precision] | None = None) -> Column:
+    """An exact operation, half up to the declared type; overflow is NULL, division by zero fails.
 
-def decimal_op(a: Column | str, op: str, b: Column | str, precision: int, scale: int) -> Column:
-    """An exact operation, half up to the declared type; overflow is NULL, division by zero fails."""
+    types: precision and scale of both operands.  Division needs them to stay in built-in expressions, and 38 digits
+    that hold the quotient's whole digits and one more than the scale; otherwise it runs in Python on Arrow batches.
+    """
     a, b = _col(a), _col(b)
-    if op in "/%":
-        b = F.when(b == 0, F.raise_error(F.lit("division by zero")).cast("decimal(38,18)")).otherwise(b.cast("decimal(38,18)"))
-        a = a.cast("decimal(38,18)")
-    out = {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "/": lambda: F.try_divide(a, b), "%": lambda: a % b}[op]()
+    if op == "/":
+        if types:
+            (p1, s1), (p2, s2) = types
+            whole, more = p1 - s1 + s2, max(0, scale - s1 - p2)
+            if whole + max(scale, s1 + more + p2) + 1 <= 38 and p1 + more <= 38 and whole + scale + p2 + 3 <= 38:
+                divisor = _nonzero(b.cast(f"decimal({p2},{s2})"), f"decimal({p2},{s2})")
+                wide = a.cast(f"decimal({p1 + more},{s1 + more})")  # the quotient's scale follows the dividend's
+                twice = F.try_divide(wide, divisor).cast(f"decimal({whole + scale + 1},{scale})")  # rounded to more digits, then to these
+                over = F.abs(twice) * F.abs(divisor) - F.abs(a.cast(f"decimal({p1},{s1})"))
+                unit = F.lit(Decimal(1).scaleb(-scale))
+                return F.when(over + over > F.abs(divisor) * unit, twice - unit * F.signum(twice).cast("decimal(1,0)")).otherwise(twice).try_cast(f"decimal({precision},{scale})")
+        return _quotient(precision, scale)(a.cast("string"), b.cast("string"))
+    out = {"+": lambda: a + b, "-": lambda: a - b, "*": lambda: a * b, "%": lambda: a % _nonzero(b)}[op]()
     return out.try_cast(f"decimal({precision},{scale})")
 
 
+def _quotient(precision: int, scale: int):
+    """Division of decimals given as text, of any precision."""
+    from millrace.functions.udf import scalar
+
+    unit, most = Decimal(1).scaleb(-scale), Decimal(10) ** (precision - scale)
+
+    def divide(a, b):
+        if a is None or b is None:
+            return None
+        with localcontext(prec=120):
+            a, b = Decimal(a), Decimal(b)
+            if not b:
+                raise ZeroDivisionError("division by zero")
+            out = (a / b).quantize(unit, ROUND_HALF_UP)
+            return out if abs(out) < most else None
+
+    return scalar(divide, f"decimal({precision},{scale})")
+
+
 def to_decimal(x: Column | str, precision: int, scale: int) -> Column:
     """Half up; what doesn't fit is NULL."""
     return _col(x).try_cast(f"decimal({precision},{scale})")
@@ -126,17 +167,35 @@ def split_index(x: Column | str, separator: str, index: Column | int) -> Column:
 
 
 def regexp_extract(x: Column | str, pattern: str, group: int = 0) -> Column:
-    """The group of the first match; NULL without a match, for an optional group that took no part, a bad pattern or a bad group."""
-    try:
-        groups = re.compile(pattern).groups
-    except re.error:
-        return F.lit(None).cast("string")
-    if not 0 <= group <= groups:
+    """The group of the first match; NULL without a match, for an optional group that took no part, a bad pattern or a bad group.
+
+    Patterns are java.util.regex's.
+    """
+    groups = _groups(pattern)
+    if groups is None or not 0 <= group <= groups:
         return F.lit(None).cast("string")
     x = _col(x)
     found = F.regexp_extract(x, pattern, group)
-    # an empty result is a match only if the group can match nothing where the pattern matches
-    return F.when(x.rlike(pattern) & ((found != "") | F.lit(group == 0)), found)
+    if not group:
+        return F.when(x.rlike(pattern), found)
+    # an empty result: at the first match, a reference to a group that took no part fails, one to an empty group doesn't
+    took_part = x.rlike(rf"\A(?>[\s\S]*?(?=(?:{pattern})))\{group}")
+    return F.when((found != "") | (x.rlike(pattern) & took_part), found)
+
+
+def _groups(pattern: str) -> int | None:
+    """How many groups the pattern has; None for a bad one."""
+    session = SparkSession.getActiveSession()
+    jvm = getattr(getattr(session, "sparkContext", None), "_jvm", None)
+    if jvm is None:  # no JVM of our own to ask
+        try:
+            return re.compile(pattern).groups
+        except re.error:
+            return None
+    try:
+        return jvm.java.util.regex.Pattern.compile(pattern).matcher("").groupCount()
+    except IllegalArgumentException:
+        return None
 
 
 def position(part: Column | str, x: Column | str) -> Column:

@@ -125,3 +125,34 @@ def test_scalar_udf(spark):
     assert [r[0] for r in df.select(f("a", "b")).collect()] == [6, None]
     with pytest.raises(ValueError):
         udf.scalar(len, "array<int>")
+
+
+def test_decimal_division(spark, ansi):
+    d = lambda x, kind: F.lit(Decimal(x)).cast(f"decimal({kind})")
+    third = S.decimal_op(d("1", "1,0"), "/", d("3", "1,0"), 20, 10)
+    typed = S.decimal_op(d("1", "1,0"), "/", d("3", "1,0"), 20, 10, types=((1, 0), (1, 0)))
+    large = S.decimal_op(d("1" + "0" * 24, "38,0"), "/", d("3", "38,10"), 38, 6)
+    half, minus = S.decimal_op(d("1", "5,2"), "/", d("8", "5,2"), 10, 2, types=((5, 2), (5, 2))), S.decimal_op(d("-1", "5,2"), "/", d("8", "5,2"), 10, 2)
+    over, null = S.decimal_op(d("1000", "10,2"), "/", d("0.01", "3,2"), 5, 2), S.decimal_op(F.lit(None).cast("decimal(5,2)"), "/", d("1", "1,0"), 5, 2)
+    assert one(spark, third, typed, large, half, minus, over, null) == (Decimal("0.3333333333"), Decimal("0.3333333333"), Decimal("333333333333333333333333.333333"), Decimal("0.13"), Decimal("-0.13"), None, None)
+    assert one(spark, S.decimal_op(d("-7.5", "3,1"), "%", d("2", "1,0"), 5, 2)) == (Decimal("-1.50"),)
+
+
+@pytest.mark.parametrize("made", [lambda: S.modulo(F.lit(7), F.lit(0)), lambda: S.decimal_op(F.lit(Decimal(1)), "%", F.lit(Decimal(0)), 5, 2), lambda: S.decimal_op(F.lit(Decimal(1)), "/", F.lit(Decimal(0)), 5, 2), lambda: S.decimal_op(F.lit(Decimal(1)), "/", F.lit(Decimal(0)), 5, 2, types=((10, 0), (10, 0)))])
+def test_division_by_zero_fails(spark, ansi, made):
+    with pytest.raises(Exception, match="division by zero"):
+        one(spark, made())
+
+
+def test_regexp_extract_like_java(spark, ansi):
+    x = F.lit("12 Äpfel.")
+    got = one(spark, S.regexp_extract(x, r"\p{L}+"), S.regexp_extract(x, r"(\d*)(-)?( )", 2), S.regexp_extract(x, r"(x*)1", 1), S.regexp_extract(x, r"1(?<rest>y*)2", 1), S.regexp_extract(x, "("), S.regexp_extract(x, "a", 3), S.regexp_extract(x, "zzz()", 1), S.regexp_extract(x, r"(y)?1|2(y*)", 1))
+    assert got == ("Äpfel", None, "", "", None, None, None, None)
+
+
+def test_wrapping_sums(spark, ansi):
+    data = [(2**63 - 1,), (1,), (-(2**62),), (2**62 + 5,), (None,), (-1,)]
+    df = spark.createDataFrame(data, "v bigint")
+    total = sum(v for (v,) in data if v is not None)
+    assert df.agg(A.sum_("v", "bigint")).first()[0] == (total + 2**63) % 2**64 - 2**63
+    assert df.where("v < 0").agg(A.sum_("v", "bigint"), A.sum_("v", "bigint", weight=F.lit(-1))).first()[:] == (-(2**62) - 1, 2**62 + 1)
