@@ -2,14 +2,20 @@
 
 Each handles one key's rows of a micro-batch at once, in arrival order (``arrival``), and gives the net change:
 a micro-batch is the bundle.  Rows carry ``_row_kind``; input without it is append-only.  State that grows
-with a key's rows is kept row by row in map state; what is bounded (sums, N rows, one row) in one value.
-``ttl_ms`` lets idle state expire after its last write.
+with a key's values or rows is kept entry by entry in map state, under a canonical text of the entry; what is bounded
+(sums, N rows, one row) in one value.  ``TopN(retract=True)`` alone keeps all of a key's rows in one value.
+``ttl_ms`` lets idle state expire after its last write (the stream then needs ``time="ProcessingTime"``).
 """
 
 from __future__ import annotations
 
+import base64
+import functools
+import json
 import pickle
 from collections.abc import Iterator
+from datetime import date
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import types as T
@@ -21,10 +27,46 @@ from millrace.types import DELETE, INSERT, PUTS, ROW_KIND, UPDATE_AFTER, UPDATE_
 KIND_IN = ROW_KIND.lstrip("_")
 _BLOB = T.StructType([T.StructField("blob", T.BinaryType())])
 _COUNT = T.StructType([T.StructField("count", T.LongType()), T.StructField("degree", T.LongType())])
+_ENTRY = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("value", T.StringType())])
+_READ = {
+    "tinyint": int, "smallint": int, "int": int, "bigint": int, "float": float, "double": float, "boolean": lambda v: v == "true",
+    "date": date.fromisoformat, "timestamp": pd.Timestamp, "timestamp_ntz": pd.Timestamp, "binary": base64.b64decode,
+}
 
 
-def _plain(v):
-    return None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v.item() if hasattr(v, "item") else v
+class Values:
+    """Reads values that came as text by the types of their columns, exactly."""
+
+    def __init__(self, types: dict[str, str], keys: list[str]):
+        self.types, self.keys = types, keys
+
+    def one(self, column: str, v):
+        if not isinstance(v, str):  # a column that came as it is
+            return None if v is None or v is pd.NaT else v
+        kind = self.types[column]
+        return Decimal(v) if kind.startswith("decimal") else _READ.get(kind, str)(v)
+
+    def key(self, key: tuple) -> tuple:
+        return tuple(self.one(c, v) for c, v in zip(self.keys, key, strict=True))
+
+
+def _text_rows(batches: Iterator[pd.DataFrame], arrival: str, values: Values) -> Iterator[dict]:
+    """A key's rows as they came, by arrival."""
+    frames = [b for b in batches if len(b)]
+    if not frames:
+        return
+    frame = pd.concat(frames, ignore_index=True)
+    names = frame.columns.tolist()
+    rows = [dict(zip(names, (v if isinstance(v, str) or v is not None and v is not pd.NaT and v == v else None for v in row), strict=True)) for row in zip(*(frame[c].tolist() for c in names), strict=True)]
+    yield from sorted(rows, key=lambda r: (r[arrival] is not None, 0 if r[arrival] is None else values.one(arrival, r[arrival])))
+
+
+def _kind(row: dict) -> int:
+    return int(row.get(KIND_IN) or INSERT)
+
+
+def _state(handle: StatefulProcessorHandle, make: str, name: str, *types: T.StructType, ttl_ms: int | None = None):
+    return getattr(handle, make)(name, *types, *([ttl_ms] if ttl_ms else []))
 
 
 class Changelog(StatefulProcessor):
@@ -34,7 +76,7 @@ class Changelog(StatefulProcessor):
         self.arrival, self.columns, self.update_before, self.ttl_ms = arrival, columns, update_before, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("value", _BLOB, self.ttl_ms) if self.ttl_ms else handle.getValueState("value", _BLOB)
+        self.state = _state(handle, "getValueState", "value", _BLOB, ttl_ms=self.ttl_ms)
 
     def load(self, default):
         got = self.state.get() if self.state.exists() else None
@@ -44,14 +86,8 @@ class Changelog(StatefulProcessor):
         self.state.update((pickle.dumps(value),))
 
     def rows(self, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, dict]]:
-        frames = [b for b in batches if len(b)]
-        if not frames:
-            return
-        frame = pd.concat(frames, ignore_index=True).sort_values(self.arrival, kind="stable")
-        kinds = frame[KIND_IN].tolist() if KIND_IN in frame else [INSERT] * len(frame)
-        names = [c for c in frame.columns if c != KIND_IN]
-        for kind, *values in zip(kinds, *(frame[c].tolist() for c in names), strict=True):
-            yield int(kind), {n: _plain(v) for n, v in zip(names, values, strict=True)}
+        for row in _text_rows(batches, self.arrival, self.values):
+            yield _kind(row), {c: self.values.one(c, v) for c, v in row.items() if c != KIND_IN}
 
     def out(self, changes: list[tuple[int, tuple]]) -> Iterator[pd.DataFrame]:
         if changes:
@@ -75,58 +111,93 @@ class Changelog(StatefulProcessor):
 class GroupAggregate(Changelog):
     """COUNT(*), COUNT, SUM, truncating AVG, MIN, MAX, COUNT DISTINCT and SUM DISTINCT per key, with retraction.
 
-    aggregates: (kind, column) pairs.  MIN, MAX and the distinct ones keep a value-to-count map.
+    aggregates: (kind, column) pairs.  MIN, MAX and the distinct ones count each value in map state; only when
+    the present extreme goes are the values read again.
     """
 
     def __init__(self, keys: list[str], aggregates: list[tuple[str, str | None]], names: list[str], arrival: str, **options):
         super().__init__(arrival, [*keys, *names], **options)
         self.keys, self.aggregates = keys, aggregates
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.seen = _state(handle, "getMapState", "values", _ENTRY, T.StructType([T.StructField("n", T.LongType())]), ttl_ms=self.ttl_ms)
+
     def result(self, key: tuple, state) -> tuple | None:
         rows, cells = state
         if rows <= 0:
             return None
         out = []
-        for (kind, _), cell in zip(self.aggregates, cells, strict=True):
-            n, total, values = cell
-            if kind == "count":
+        for (kind, _), (n, total) in zip(self.aggregates, cells, strict=True):
+            if kind in ("count", "count_distinct"):
                 out.append(n)
-            elif kind == "sum":
-                out.append(total if n else None)
             elif kind == "avg":
                 out.append(None if not n else abs(total) // n * (1 if total >= 0 else -1))
-            elif kind in ("min", "max"):
-                out.append((min if kind == "min" else max)(values) if values else None)
-            elif kind == "count_distinct":
-                out.append(len(values))
-            else:
-                out.append(sum(values) if values else None)
+            else:  # a sum, an extreme
+                out.append(total if n else None)
         return (*key, *out)
 
+    def entry(self, i: int, column: str, text: str, w: int) -> int:
+        """Counts a value; 1 or -1 as it comes or goes, else 0."""
+        at = (i, text)
+        was = int(self.seen.getValue(at)[0]) if self.seen.containsKey(at) else 0
+        if was + w > 0:
+            self.seen.updateValue(at, (was + w,))
+        elif was:
+            self.seen.removeKey(at)
+        return int(was <= 0 < was + w) - int(was + w <= 0 < was)
+
+    def extreme(self, i: int, column: str, pick):
+        return pick((self.values.one(column, k[1]) for k in self.seen.keys() if int(k[0]) == i), default=0)
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = self.load([0, [[0, 0, {}] for _ in self.aggregates]])
+        key = self.values.key(key)
+        state = self.load([0, [[0, 0] for _ in self.aggregates]])
         before = self.result(key, state)
-        for kind, row in self.rows(rows):
-            w = 1 if kind in PUTS else -1
+        for row in _text_rows(rows, self.arrival, self.values):
+            w = 1 if _kind(row) in PUTS else -1
             state[0] += w
-            for (name, column), cell in zip(self.aggregates, state[1], strict=True):
-                x = 1 if column is None else row[column]
-                if x is None:
+            for i, ((name, column), cell) in enumerate(zip(self.aggregates, state[1], strict=True)):
+                text = "1" if column is None else row[column]
+                if text is None:
                     continue
-                cell[0] += w
-                if name in ("sum", "avg"):
-                    cell[1] += w * x
-                elif name != "count":
-                    cell[2][x] = cell[2].get(x, 0) + w
-                    if cell[2][x] <= 0:
-                        del cell[2][x]
+                x = None if column is None else self.values.one(column, text)
+                if name in ("min", "max", "count_distinct", "sum_distinct"):
+                    moved = self.entry(i, column, text, w)
+                    cell[0] += moved
+                    pick = min if name == "min" else max
+                    if name == "sum_distinct":
+                        cell[1] += moved * x
+                    elif name != "count_distinct" and moved:
+                        if moved > 0:
+                            cell[1] = x if cell[0] == 1 else pick(x, cell[1])
+                        elif x == cell[1]:
+                            cell[1] = self.extreme(i, column, pick)
+                else:
+                    cell[0] += w
+                    cell[1] += w * x if name in ("sum", "avg") else 0
         if state[0] <= 0:
             self.state.clear()
+            self.seen.clear()
         else:
             self.save(state)
         yield from self.out(self.move(before, self.result(key, state)))
 
 
+@functools.total_ordering
+class _Reversed:
+    """Orders values of any type the other way round."""
+
+    def __init__(self, v):
+        self.v = v
+
+    def __eq__(self, other):
+        return self.v == other.v
+
+    def __lt__(self, other):
+        return other.v < self.v
+
+
 class TopN(Changelog):
     """The first n rows of each key; ``order``: (column, ascending) pairs, ties in arrival order.
 
@@ -144,7 +215,7 @@ class TopN(Changelog):
         for column, ascending in self.order:
             v = row[column]
             out.append((v is not None) if ascending else (v is None))  # NULLs first ascending, last descending
-            out.append(0 if v is None else v if ascending else -v)
+            out.append(0 if v is None else v if ascending else _Reversed(v))
         return (*out, seq)
 
     def top(self, held: list) -> list[tuple]:
@@ -214,27 +285,58 @@ class Normalize(Changelog):
 
 
 class Over(Changelog):
-    """Running SUM and COUNT per key in time order: ``rows`` preceding, or everything before.
+    """Running aggregates per key in time order: over ``rows`` preceding ones, over those within ``interval`` before (in the units of
+    ``time``), or over everything before.
 
-    Append-only input in time order within and across batches; gives one row per input row.
+    aggregates: (kind, name) pairs of sum, count, min, max, first_value, last_value, count_distinct.  Append-only
+    input in time order within and across batches; gives one row per input row.  With an interval, rows of the same time
+    in a micro-batch are peers.
     """
 
-    def __init__(self, value: str, columns: list[str], arrival: str, *, rows: int | None = None, names: tuple[str, str] = ("s", "n")):
-        super().__init__(arrival, [*columns, *names])
-        self.value, self.row_columns, self.preceding = value, columns, rows
+    def __init__(self, value: str, columns: list[str], arrival: str, *, rows: int | None = None, interval: int | None = None, time: str | None = None, names: tuple[str, str] = ("s", "n"), aggregates: list[tuple[str, str]] | None = None):
+        self.aggregates = aggregates or [("sum", names[0]), ("count", names[1])]
+        super().__init__(arrival, [*columns, *(n for _, n in self.aggregates)])
+        self.value, self.row_columns, self.preceding, self.interval, self.time = value, columns, rows, interval, time
+        self.folded = rows is None and interval is None
+
+    def result(self, held: list) -> list:
+        some = [v for _, v in held if v is not None]
+        of = {
+            "sum": lambda: sum(some) if some else None, "count": lambda: len(some), "min": lambda: min(some, default=None), "max": lambda: max(some, default=None),
+            "first_value": lambda: held[0][1], "last_value": lambda: held[-1][1], "count_distinct": lambda: len(set(some)),
+        }
+        return [of[kind]() for kind, _ in self.aggregates]
+
+    def fold(self, held: dict, x) -> list:
+        """Everything before in bounded state, but for the values of COUNT DISTINCT."""
+        if not held:
+            held |= {"sum": None, "count": 0, "min": None, "max": None, "first_value": x}
+        held["last_value"] = x
+        if x is not None:
+            held["count"] += 1
+            for kind, pick in (("sum", lambda a: a + x if held["count"] > 1 else x), ("min", lambda a: min(a, x) if a is not None else x), ("max", lambda a: max(a, x) if a is not None else x)):
+                if kind in (k for k, _ in self.aggregates):
+                    held[kind] = pick(held[kind])
+            if "count_distinct" in (k for k, _ in self.aggregates):
+                held.setdefault("values", set()).add(x)
+        return [len(held.get("values", ())) if kind == "count_distinct" else held[kind] for kind, _ in self.aggregates]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held, out = self.load([]) if self.preceding is not None else self.load((0, 0)), []
-        for _, row in self.rows(rows):
+        held, out = self.load({} if self.folded else []), []
+        batch = [row for _, row in self.rows(rows)]
+        for i, row in enumerate(batch):
             x = row[self.value]
-            if self.preceding is None:
-                held = (held[0] + (x or 0), held[1] + (x is not None))
-                total = held
+            if self.folded:
+                result = self.fold(held, x)
+            elif self.interval is None:
+                held = [*held, (0, x)][-(self.preceding + 1) :]
+                result = self.result(held)
             else:
-                held = [*held, x][-(self.preceding + 1) :]
-                some = [v for v in held if v is not None]
-                total = (sum(some), len(some))
-            out.append((INSERT, (*(row[c] for c in self.row_columns), total[0] if total[1] else None, total[1])))
+                now = row[self.time]
+                if not i or batch[i - 1][self.time] != now:
+                    held = [h for h in held if h[0] >= now - self.interval] + [(now, r[self.value]) for r in batch[i:] if r[self.time] == now]
+                result = self.result(held)
+            out.append((INSERT, (*(row[c] for c in self.row_columns), *result)))
         self.save(held)
         yield from self.out(out)
 
@@ -242,42 +344,53 @@ class Over(Changelog):
 class UpdatingJoin(StatefulProcessor):
     """Regular join of two changelogs that meet by key; ``_side`` 0 is left, 1 right.
 
-    how: inner, left, right, full, semi or anti.  Both sides' rows are kept with their counts, and for outer
-    sides with their degree (how many rows they match), so padding comes and goes as matches do.
+    how: inner, left, right, full, semi or anti.  Each different row of a side is a state entry with its count, and for
+    outer sides its degree (how many rows it matches), so padding comes and goes as matches do.  A side is read as a whole
+    only when the other one changes.  ttl_ms: for each side, how long an entry lives after its last write.
     """
 
-    def __init__(self, left: list[str], right: list[str], how: str, arrival: str):
-        self.left, self.right, self.how, self.arrival = left, right, how, arrival
+    def __init__(self, left: list[str], right: list[str], how: str, arrival: str, ttl_ms: tuple[int | None, int | None] = (None, None)):
+        self.left, self.right, self.how, self.arrival, self.ttl_ms = left, right, how, arrival, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.sides = [handle.getMapState(name, _BLOB, _COUNT) for name in ("left", "right")]
+        self.sides = [_state(handle, "getMapState", name, _BLOB, _COUNT, ttl_ms=ttl) for name, ttl in zip(("left", "right"), self.ttl_ms, strict=True)]
+
+    @staticmethod
+    def _name(row: tuple) -> tuple[bytes]:
+        return (json.dumps(row).encode(),)  # of texts and NULLs: equal rows, equal bytes
+
+    def _all(self, side: int, held: dict) -> dict[tuple, list[int]]:
+        """Adds the side's stored rows to those that this batch has touched."""
+        for k, v in self.sides[side].iterator():
+            held.setdefault(tuple(json.loads(bytes(k[0]))), [int(v[0]), int(v[1])])
+        return held
 
-    def _all(self, side: int) -> dict[tuple, list[int]]:
-        return {pickle.loads(bytes(k[0])): [int(v[0]), int(v[1])] for k, v in self.sides[side].iterator()}
+    def _cell(self, side: int, row: tuple, held: dict) -> list[int]:
+        if row not in held:
+            name = self._name(row)
+            held[row] = [int(x) for x in self.sides[side].getValue(name)] if self.sides[side].containsKey(name) else [0, 0]
+        return held[row]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        frames = [b for b in rows if len(b)]
-        if not frames:
-            return
-        frame = pd.concat(frames, ignore_index=True).sort_values(self.arrival, kind="stable")
-        held, touched = [self._all(0), self._all(1)], [set(), set()]
+        held, whole, touched = [{}, {}], [False, False], [set(), set()]
         padded = [self.how in ("left", "full"), self.how in ("right", "full")]
         nulls = [(None,) * len(self.left), (None,) * len(self.right)]
-        matchable = all(_plain(k) is not None for k in key)
+        matchable = all(k is not None and k == k for k in key)
         net: dict[tuple, int] = {}
 
         def give(a: tuple, b: tuple, n: int) -> None:
             net[(a, b)] = net.get((a, b), 0) + n
 
-        names = frame.columns.tolist()
-        for values in zip(*(frame[c].tolist() for c in names), strict=True):
-            row = {n: _plain(v) for n, v in zip(names, values, strict=True)}
+        for row in _text_rows(rows, self.arrival, self.values):
             side = int(row["side"])
-            w = 1 if int(row.get(KIND_IN) or 0) in PUTS else -1
+            w = 1 if _kind(row) in PUTS else -1
             mine = tuple(row[c] for c in (self.left, self.right)[side])
-            others = held[1 - side] if matchable else {}
+            if matchable and not whole[1 - side]:
+                self._all(1 - side, held[1 - side])
+                whole[1 - side] = True
+            others = {o: c for o, c in held[1 - side].items() if c[0]} if matchable else {}
             degree = sum(c for c, _ in others.values())
-            cell = held[side].setdefault(mine, [0, 0])
+            cell = self._cell(side, mine, held[side])
             cell[0] += w
             cell[1] = degree
             touched[side].add(mine)
@@ -301,17 +414,15 @@ class UpdatingJoin(StatefulProcessor):
                         give(*pair(nulls[side], other), o[0] * (1 if was > 0 else -1))
                 if padded[side] and degree == 0:
                     give(*pair(mine, nulls[1 - side]), w)
-            if cell[0] == 0:
-                del held[side][mine]
         for side in (0, 1):
             for row in touched[side]:
-                blob = (pickle.dumps(row),)
-                if row in held[side]:
-                    self.sides[side].updateValue(blob, tuple(held[side][row]))
-                elif self.sides[side].containsKey(blob):
-                    self.sides[side].removeKey(blob)
+                if held[side][row][0]:
+                    self.sides[side].updateValue(self._name(row), tuple(held[side][row]))
+                elif self.sides[side].containsKey(self._name(row)):
+                    self.sides[side].removeKey(self._name(row))
         columns = self.left if self.how in ("semi", "anti") else [*self.left, *self.right]
-        out = [(DELETE if n < 0 else INSERT, *a, *b) for (a, b), n in net.items() for _ in range(abs(n))]
+        read = lambda row: tuple(self.values.one(c, v) for c, v in zip(columns, row, strict=True))
+        out = [(DELETE if n < 0 else INSERT, *read((*a, *b))) for (a, b), n in net.items() for _ in range(abs(n))]
         if out:
             yield pd.DataFrame(out, columns=[ROW_KIND, *columns], dtype=object)
 
@@ -336,20 +447,17 @@ class TemporalJoin(StatefulProcessor):
         self.waiting = handle.getMapState("waiting", time, _BLOB)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for frame in rows:
-            names = frame.columns.tolist()
-            for values in zip(*(frame.sort_values(self.arrival)[c].tolist() for c in names), strict=True):
-                row = {n: _plain(v) for n, v in zip(names, values, strict=True)}
-                at, seq = (int(row["ms"]),), row[self.arrival]
-                if int(row["side"]) == 0:
-                    held = pickle.loads(bytes(self.versions.getValue(at)[0])) if self.versions.containsKey(at) else None
-                    if held is None or held[0] <= seq:
-                        gone = int(row.get(KIND_IN) or 0) not in PUTS
-                        self.versions.updateValue(at, (pickle.dumps((seq, None if gone else tuple(row[c] for c in self.version))),))
-                else:
-                    held = pickle.loads(bytes(self.waiting.getValue(at)[0])) if self.waiting.containsKey(at) else []
-                    self.waiting.updateValue(at, (pickle.dumps([*held, tuple(row[c] for c in self.probe)]),))
-                    self.handle.registerTimer(at[0])
+        for text in _text_rows(rows, self.arrival, self.values):
+            row = {c: self.values.one(c, v) for c, v in text.items()}
+            at, seq = (row["ms"],), row[self.arrival]
+            if row["side"] == 0:
+                held = pickle.loads(bytes(self.versions.getValue(at)[0])) if self.versions.containsKey(at) else None
+                if held is None or held[0] <= seq:
+                    self.versions.updateValue(at, (pickle.dumps((seq, None if _kind(text) not in PUTS else tuple(row[c] for c in self.version))),))
+            else:
+                held = pickle.loads(bytes(self.waiting.getValue(at)[0])) if self.waiting.containsKey(at) else []
+                self.waiting.updateValue(at, (pickle.dumps([*held, tuple(row[c] for c in self.probe)]),))
+                self.handle.registerTimer(at[0])
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -382,9 +490,9 @@ class TimeSort(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         new: dict[int, list] = {}
-        for frame in rows:
-            for ms, seq, *values in zip(frame["ms"].tolist(), frame[self.arrival].tolist(), *(frame[c].tolist() for c in self.columns), strict=True):
-                new.setdefault(int(ms), []).append((_plain(seq), tuple(_plain(v) for v in values)))
+        for text in _text_rows(rows, self.arrival, self.values):
+            row = {c: self.values.one(c, v) for c, v in text.items()}
+            new.setdefault(row["ms"], []).append((row[self.arrival], tuple(row[c] for c in self.columns)))
         for ms, some in new.items():
             held = pickle.loads(bytes(self.waiting.getValue((ms,))[0])) if self.waiting.containsKey((ms,)) else []
             self.waiting.updateValue((ms,), (pickle.dumps(held + some),))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.session import ROCKSDB, scratch
+from millrace.streaming.processors import Values
 
 #: A time past all others: the row that carries it lets every window close at the end of a bounded input.
 END = "2100-01-01 00:00:00"
@@ -59,11 +60,17 @@ def finish(df: DataFrame, mode: str = "append", tag: str = "stream") -> DataFram
 def keyed(df: DataFrame, keys: list[str], processor, schema: T.StructType, *, mode: str = "Update", time: str = "None") -> DataFrame:
     """A custom stateful operator over keys.
 
-    Workers do not see columns whose names begin with an underscore, so those come without it (``row_kind``).
+    Workers would see integers beside NULLs as floats, so every value goes there as text and is read by its declared
+    type (``processors.Values``).  Workers do not see columns whose names begin with an underscore, so
+    those come without it (``row_kind``).
     """
     ready(df.sparkSession)
     df = df.withColumnsRenamed({c: c.lstrip("_") for c in df.columns if c.startswith("_")})
-    return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode=time)
+    processor.values = Values({f.name: f.dataType.simpleString() for f in df.schema}, keys)
+    # event-time columns with a watermark stay beside their text
+    marked = [f.name for f in df.schema if time == "EventTime" and isinstance(f.dataType, T.TimestampType)]
+    text = [(F.base64(f.name) if isinstance(f.dataType, T.BinaryType) else F.col(f.name).cast("string")).alias(f.name) for f in df.schema if f.name not in marked]
+    return df.select(*text, *marked).groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode=mode, timeMode=time)
 
 
 def ntz(df: DataFrame) -> DataFrame:

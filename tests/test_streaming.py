@@ -102,7 +102,62 @@ def test_keep_last_ties_go_to_the_later(spark, tmp_path):
 def test_updating_join_query_joins_every_click_and_error(spark, sf):
     from millrace.streaming import catalog
 
-    got = rows(catalog.queries()["stream_updating_join_whole"](spark, sf))
+    got = rows(catalog.queries()["stream_updating_join"](spark, sf))
     events = [(r.event_id, r.event_type) for r in spark.read.parquet(f"{sf}/events.parquet").collect()]
     assert {i for i, _ in got if i is not None} == {i for i, t in events if t == "click"}
     assert {i for _, i in got if i is not None} == {i for i, t in events if t == "error"}
+
+
+def side_rows(spark, path, batches):
+    """One micro-batch for each list of (seq, side, k, left, right, kind)."""
+    schema = f"seq long, _side int, k long, a long, b long, {ROW_KIND} byte"
+    for rows_ in batches:
+        spark.createDataFrame(rows_, schema).coalesce(1).write.mode("append").parquet(str(path))
+    return spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
+def test_no_ghosts_beside_nulls(spark, tmp_path):
+    batches = [[(0, 0, 1, 5, None, INSERT), (1, 1, 2, None, 7, INSERT)], [(2, 0, 1, 5, None, DELETE)], [(3, 1, 1, None, 8, INSERT)]]
+    out = finish(keyed(side_rows(spark, tmp_path / "in", batches), ["k"], P.UpdatingJoin(["a"], ["b"], "inner", "seq"), changes(a=LONG, b=LONG)), "update")
+    assert rows(out) == []
+
+
+@pytest.mark.parametrize("how", ["left", "right", "full"])
+def test_padding_over_batches(spark, tmp_path, how):
+    batches = [[(0, 0, 1, None, None, INSERT), (1, 0, None, 3, None, INSERT), (2, 0, 1, 2**53 + 1, None, INSERT)], [(3, 1, 1, None, 8, INSERT), (4, 1, 5, None, 9, INSERT)], [(5, 0, 1, None, None, DELETE), (6, 1, 1, None, 8, DELETE)]]
+    out = finish(keyed(side_rows(spark, tmp_path / "in", batches), ["k"], P.UpdatingJoin(["a"], ["b"], how, "seq"), changes(a=LONG, b=LONG)), "update")
+    want = [(2**53 + 1, None), (3, None)] * (how != "right") + [(None, 9)] * (how != "left")
+    assert rows(changelog.collapse(out)) == sorted(want, key=lambda r: [(x is not None, x or 0) for x in r])
+
+
+def test_big_integers_beside_nulls_and_nan(spark, tmp_path):
+    big = 9007199254740993
+    data = [(0, 1, big, float("nan"), INSERT), (1, 1, None, None, INSERT), (2, 2, None, 1.5, INSERT)]
+    source = stream(spark, tmp_path / "in", data, f"seq long, k long, v long, x double, {ROW_KIND} byte", 1)
+    agg = P.GroupAggregate(["k"], [("sum", "v"), ("max", "v"), ("count", "x")], ["s", "hi", "n"], "seq")
+    assert rows(finish(keyed(source, ["k"], agg, changes(k=LONG, s=LONG, hi=LONG, n=LONG)), "update"), "k", "s", "hi", "n") == [(1, big, big, 1), (2, None, None, 1)]
+
+
+def test_extremes_come_back(spark, tmp_path):
+    data = [(0, 1, 5, INSERT), (1, 1, 9, INSERT), (2, 1, 9, INSERT), (3, 1, 9, DELETE), (4, 1, 9, DELETE), (5, 1, 5, DELETE)]
+    agg = P.GroupAggregate(["k"], [("max", "v"), ("min", "v"), ("sum_distinct", "v")], ["hi", "lo", "s"], "seq")
+    out = finish(keyed(stream(spark, tmp_path / "in", data, SCHEMA, 6), ["k"], agg, changes(k=LONG, hi=LONG, lo=LONG, s=LONG)), "update")
+    moves = sorted((r[ROW_KIND], r.hi, r.lo, r.s) for r in out.collect())
+    assert moves == [(INSERT, 5, 5, 5), (UPDATE_BEFORE, 5, 5, 5), (UPDATE_BEFORE, 9, 5, 14), (UPDATE_AFTER, 5, 5, 5), (UPDATE_AFTER, 9, 5, 14), (DELETE, 5, 5, 5)]
+
+
+def test_descending_text_with_nulls(spark, tmp_path):
+    data = [(0, 1, "a"), (1, 1, None), (2, 1, "c"), (3, 1, "b")]
+    top = P.TopN([("t", False)], 3, ["k", "t"], "seq", rank="r")
+    out = finish(keyed(stream(spark, tmp_path / "in", data, "seq long, k long, t string", 2), ["k"], top, changes(k=LONG, t=T.StringType(), r=LONG)), "update")
+    assert [t for _, t, _ in sorted(rows(changelog.collapse(out), "k", "t", "r"), key=lambda r: r[2])] == ["c", "b", "a"]
+
+
+def test_late_rows_are_dropped(spark, tmp_path):
+    from millrace.operators import windows
+
+    data = [(0, "2024-01-01 00:00:10"), (1, "2024-01-01 02:00:00"), (4, "2024-01-01 02:10:00"), (2, "2024-01-01 00:00:20"), (3, "2024-01-01 05:00:00")]
+    schema = "seq long, at string"
+    source = stream(spark, tmp_path / "in", data, schema, 5).select("seq", F.col("at").cast("timestamp").alias("ts")).withWatermark("ts", "0 seconds")
+    out = finish(windows.tumble_aggregate(source, "ts", 3_600_000, [], F.count("seq").alias("n")))
+    assert sorted((str(r.window_start), r.n) for r in out.collect()) == [("2024-01-01 00:00:00", 1), ("2024-01-01 02:00:00", 2)]  # row 2 came after its window had closed
