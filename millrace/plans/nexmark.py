@@ -7,7 +7,7 @@ suite's own deterministic events; ``person_of``, ``auction_of`` and ``bid_of`` a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import aggregates as A
@@ -20,16 +20,16 @@ DAY = 86_400_000
 
 #: The three views in DuckDB SQL, put before each query's SQL.
 VIEWS = """
-WITH person AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS city, CAST(c_nationkey AS VARCHAR) AS state FROM customer),
+WITH person AS (SELECT c_custkey AS id, c_name AS name, c_mktsegment AS city, CAST(c_nationkey AS VARCHAR) AS state, TIMESTAMP '1992-01-01' + to_days(CAST(c_custkey % 2400 AS INTEGER)) AS date_time FROM customer),
 auction AS (SELECT o_orderkey AS id, 'item-' || o_orderkey AS item_name, o_custkey AS seller, CAST(substr(o_orderpriority, 1, 1) AS BIGINT) AS category,
   CAST(floor(o_totalprice) AS BIGINT) AS initial_bid, o_orderdate AS date_time, o_orderdate + INTERVAL 90 DAY AS expires FROM orders),
 bid AS (SELECT l_orderkey AS auction, l_suppkey AS bidder, CAST(floor(l_extendedprice) AS BIGINT) AS price, 'channel-' || l_returnflag || l_linestatus AS channel,
-  'https://auction.test/' || l_returnflag || '/' || l_partkey || '/item.htm?channel_id=' || l_suppkey AS url, l_shipdate AS date_time, CAST(l_linenumber AS BIGINT) AS line FROM lineitem)
+  'https://auction.test/' || l_returnflag || '/' || l_partkey || '/item.htm?query=1&channel_id=' || l_suppkey AS url, l_shipdate AS date_time, CAST(l_linenumber AS BIGINT) AS line FROM lineitem)
 """
 
 
 def person(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("city"), F.col("c_nationkey").cast("string").alias("state"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("city"), F.col("c_nationkey").cast("string").alias("state"), (F.lit("1992-01-01").cast("timestamp_ntz") + F.make_dt_interval(days=(F.col("c_custkey") % 2400).cast("int"))).alias("date_time"))
 
 
 def auction(spark: SparkSession, d: str) -> DataFrame:
@@ -46,7 +46,7 @@ def bid(spark: SparkSession, d: str) -> DataFrame:
     return x.select(
         F.col("l_orderkey").alias("auction"), F.col("l_suppkey").alias("bidder"), F.floor("l_extendedprice").cast("bigint").alias("price"),
         F.concat(F.lit("channel-"), "l_returnflag", "l_linestatus").alias("channel"),
-        F.concat(F.lit("https://auction.test/"), "l_returnflag", F.lit("/"), F.col("l_partkey").cast("string"), F.lit("/item.htm?channel_id="), F.col("l_suppkey").cast("string")).alias("url"),
+        F.concat(F.lit("https://auction.test/"), "l_returnflag", F.lit("/"), F.col("l_partkey").cast("string"), F.lit("/item.htm?query=1&channel_id="), F.col("l_suppkey").cast("string")).alias("url"),
         F.col("l_shipdate").alias("date_time"), F.col("l_linenumber").cast("bigint").alias("line"),
     )
 
@@ -91,11 +91,14 @@ def q7(spark, d):
     return near.select("auction", "bidder", "price", "date_time", "line", "channel")
 
 
+def _new_sellers(p: DataFrame, a: DataFrame, size: int) -> DataFrame:
+    joined = windows.aggregate(windows.tumble(p.select("id", "name", "date_time"), "date_time", size), ["id", "name"])
+    sellers = windows.aggregate(windows.tumble(a.select("seller", "date_time"), "date_time", size), ["seller"])
+    return joins.window(joined, sellers, [("id", "seller")]).select("id", "name", F.col("window_start").alias("stime"))
+
+
 def q8(spark, d):
-    o = auction(spark, d)
-    joined = windows.aggregate(windows.tumble(o.where("category <= 3").select(F.col("seller").alias("id"), "date_time"), "date_time", 30 * DAY), ["id"])
-    sellers = windows.aggregate(windows.tumble(o.where("category > 3").select("seller", "date_time"), "date_time", 30 * DAY), ["seller"])
-    return joins.window(joined, sellers, [("id", "seller")]).select("id", "window_start")
+    return _new_sellers(person(spark, d), auction(spark, d), 30 * DAY)
 
 
 def q9(spark, d):
@@ -129,33 +132,55 @@ def q14(spark, d):
     return bid(spark, d).where((price > 10_000) & (price < 50_000)).select("auction", "bidder", price.alias("price"), kind.alias("bid_time_type"), "date_time", S.count_char("url", "a").alias("c_counts"))
 
 
-def _day_counts(keys):
-    low, mid, high = F.col("price") < 10_000, (F.col("price") >= 10_000) & (F.col("price") < 50_000), F.col("price") >= 50_000
-    out = [A.count().alias("total_bids")]
-    for i, gate in enumerate((low, mid, high), 1):
-        out.append(A.count(when=gate).alias(f"rank{i}_bids"))
+def _gates() -> tuple[Column, ...]:
+    return F.col("price") < 10_000, (F.col("price") >= 10_000) & (F.col("price") < 50_000), F.col("price") >= 50_000
+
+
+def _day_counts(rows: DataFrame, keys: list[str], **more: Column) -> DataFrame:
+    """Bids, bidders and auctions, all and by rank of price; ``more`` are maxima.
+
+    Distinct counts in two levels: once for each key and bidder (or auction) with flags of the ranks met, then for each key.
+    """
+    ranks = range(1, 4)
+    met = lambda name: [F.max(F.when(F.col(name).isNotNull() & g, 1).otherwise(0)).alias(f"rank{i}_{name}s") for i, g in zip(ranks, _gates(), strict=True)]
+    bids = [A.count().alias("total_bids"), *(A.count(when=g).alias(f"rank{i}_bids") for i, g in zip(ranks, _gates(), strict=True))]
+    by_bidder = rows.groupBy(*keys, "bidder").agg(*bids, *(F.max(c).alias(n) for n, c in more.items()), *met("bidder")).withColumnRenamed("bidder", "of_bidder")
+    by_auction = rows.groupBy(*keys, "auction").agg(*met("auction")).withColumnRenamed("auction", "of_auction")
+    both = by_bidder.unionByName(by_auction, allowMissingColumns=True)
+    out = [F.max(n).alias(n) for n in more]
+    out += [F.sum(c).alias(c) for c in ("total_bids", *(f"rank{i}_bids" for i in ranks))]
     for name in ("bidder", "auction"):
-        out.append(A.count_distinct(name).alias(f"total_{name}s"))
-        for i, gate in enumerate((low, mid, high), 1):
-            out.append(A.count_distinct(name, when=gate).alias(f"rank{i}_{name}s"))
-    return out
+        out += [F.count(f"of_{name}").alias(f"total_{name}s"), *(F.coalesce(F.sum(f"rank{i}_{name}s"), F.lit(0)).alias(f"rank{i}_{name}s") for i in ranks)]
+    return both.groupBy(*keys).agg(*out)
+
+
+def _monthly(b: DataFrame) -> DataFrame:
+    """Grouped by number, formatted after."""
+    return b.withColumn("month", F.year("date_time") * 12 + F.month("date_time") - 1)
+
+
+def _month() -> Column:
+    return F.format_string("%04d-%02d", F.floor(F.col("month") / 12).cast("int"), (F.col("month") % 12 + 1).cast("int")).alias("day")
 
 
 def q15(spark, d):
-    return bid(spark, d).groupBy(S.date_format("date_time", "yyyy-MM").alias("day")).agg(*_day_counts(["day"]))
+    counts = _day_counts(_monthly(bid(spark, d)), ["month"])
+    return counts.select(_month(), *(c for c in counts.columns if c != "month"))
 
 
 def q16(spark, d):
-    b = bid(spark, d)
-    return b.groupBy("channel", S.date_format("date_time", "yyyy-MM").alias("day")).agg(F.max(S.date_format("date_time", "HH:mm")).alias("minute"), *_day_counts(["channel", "day"]))
+    minute = F.hour("date_time") * 60 + F.minute("date_time")
+    counts = _day_counts(_monthly(bid(spark, d)), ["channel", "month"], last=minute)
+    last = F.format_string("%02d:%02d", F.floor(F.col("last") / 60).cast("int"), F.col("last") % 60).alias("minute")
+    return counts.select("channel", _month(), last, *(c for c in counts.columns if c not in ("channel", "month", "last")))
 
 
 def q17(spark, d):
-    low, mid, high = F.col("price") < 10_000, (F.col("price") >= 10_000) & (F.col("price") < 50_000), F.col("price") >= 50_000
-    return bid(spark, d).groupBy("auction", S.date_format("date_time", "yyyy-MM-dd").alias("day")).agg(
-        A.count().alias("total_bids"), *(A.count(when=g).alias(f"rank{i}_bids") for i, g in enumerate((low, mid, high), 1)),
+    by = bid(spark, d).groupBy("auction", F.date_trunc("day", "date_time").alias("at")).agg(
+        A.count().alias("total_bids"), *(A.count(when=g).alias(f"rank{i}_bids") for i, g in enumerate(_gates(), 1)),
         A.min_("price").alias("min_price"), A.max_("price").alias("max_price"), A.avg_int("price", "bigint").alias("avg_price"), A.sum_("price", "bigint").alias("sum_price"),
     )
+    return by.select("auction", S.date_format("at", "yyyy-MM-dd").alias("day"), *(c for c in by.columns if c not in ("auction", "at")))
 
 
 def q18(spark, d):
@@ -173,28 +198,30 @@ def q20(spark, d):
     return joins.regular(b, a.where("category = 5"), b["auction"] == a["id"]).select("auction", "bidder", "price", "channel", "url", "date_time", "item_name", "initial_bid", "opened", "expires", "seller", "category")
 
 
-def q21(spark, d):
-    lowered = F.lower("channel")
-    channel = F.when(lowered == "channel-ro", "0").when(lowered == "channel-af", "1").otherwise(S.regexp_extract("url", "(&|^)channel_id=([^&]*)", 2))
-    rows = bid(spark, d).select("auction", "bidder", "price", "channel", F.coalesce(channel, S.regexp_extract("url", r"channel_id=(\d*[02468])$", 1)).alias("channel_id"))
-    return rows.where(F.col("channel_id").isNotNull())
+def _channel_ids(b: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    lowered, from_url = F.lower("channel"), S.regexp_extract("url", "(&|^)channel_id=([^&]*)", 2)
+    channel = F.lit(None)
+    for i, name in reversed(list(enumerate(names))):
+        channel = F.when(lowered == name, str(i)).otherwise(channel if i < len(names) - 1 else from_url)
+    return b.where(from_url.isNotNull() | lowered.isin(*names)).select("auction", "bidder", "price", "channel", channel.alias("channel_id"))
 
 
-def q21_whole(spark, d):
-    lowered = F.lower("channel")
-    channel = F.when(lowered == "channel-ro", "0").when(lowered == "channel-af", "1").otherwise(S.regexp_extract("url", "[?&]channel_id=([^&]*)", 1))
-    return bid(spark, d).select("auction", "bidder", "price", "channel", channel.alias("channel_id")).where(F.col("channel_id").isNotNull())
+def q21(spark, d):
+    return _channel_ids(bid(spark, d), ("channel-ro", "channel-af"))
 
 
 def q22(spark, d):
     return bid(spark, d).select("auction", "bidder", "price", "channel", *(S.split_index("url", "/", i).alias(f"dir{i - 2}") for i in (3, 4, 5)))
 
 
+def _sold_by_bidders(b: DataFrame, p: DataFrame, a: DataFrame) -> DataFrame:
+    a = a.select("item_name", F.col("date_time").alias("opened"), "seller")
+    known = joins.regular(b.select("auction", "bidder", "price"), p.select("id"), F.col("bidder") == F.col("id"))
+    return joins.regular(known, a, F.col("seller") == F.col("bidder")).select("auction", "bidder", "price", "item_name", "opened", "seller")
+
+
 def q23(spark, d):
-    b = bid(spark, d)
-    a, p = auction(spark, d).withColumnsRenamed({"date_time": "opened", "id": "auction_id"}), person(spark, d).withColumnRenamed("id", "person_id")
-    both = joins.regular(b, a, b["auction"] == a["auction_id"])
-    return joins.regular(both, p, F.col("seller") == F.col("person_id")).select("auction", "bidder", "price", "item_name", "opened", "name")
+    return _sold_by_bidders(bid(spark, d), person(spark, d), auction(spark, d))
 
 
 _COUNTS = """count(*) AS total_bids, count(*) FILTER (price < 10000) AS rank1_bids, count(*) FILTER (price >= 10000 AND price < 50000) AS rank2_bids, count(*) FILTER (price >= 50000) AS rank3_bids,
@@ -202,6 +229,11 @@ count(DISTINCT bidder) AS total_bidders, count(DISTINCT bidder) FILTER (price <
 count(DISTINCT auction) AS total_auctions, count(DISTINCT auction) FILTER (price < 10000) AS rank1_auctions, count(DISTINCT auction) FILTER (price >= 10000 AND price < 50000) AS rank2_auctions, count(DISTINCT auction) FILTER (price >= 50000) AS rank3_auctions"""
 _WINNING = "bid b JOIN auction a ON b.auction = a.id AND b.date_time BETWEEN a.date_time AND a.expires"
 _EPOCH = "TIMESTAMP '1970-01-01'"
+_Q8 = f"""SELECT P.id, P.name, P.s AS stime FROM (SELECT id, name, time_bucket({{span}}, date_time, {_EPOCH}) AS s FROM person GROUP BY ALL) P
+JOIN (SELECT seller, time_bucket({{span}}, date_time, {_EPOCH}) AS s FROM auction GROUP BY ALL) A ON P.id = A.seller AND P.s = A.s"""
+_Q21 = """SELECT auction, bidder, price, channel, CASE {names} ELSE regexp_extract(url, '(&|^)channel_id=([^&]*)', 2) END AS channel_id
+FROM bid WHERE regexp_matches(url, '(&|^)channel_id=([^&]*)') OR lower(channel) IN ({some})"""
+_Q23 = "SELECT B.auction, B.bidder, B.price, A.item_name, A.date_time AS opened, A.seller FROM bid B JOIN person P ON P.id = B.bidder JOIN auction A ON A.seller = B.bidder"
 
 SQL = {
     "q0": "SELECT auction, bidder, price, date_time FROM bid",
@@ -215,8 +247,7 @@ SELECT auction, num, window_start FROM counts c WHERE num >= (SELECT max(num) FR
     "q7": f"""SELECT b.auction, b.bidder, b.price, b.date_time, b.line, b.channel FROM bid b JOIN (
   SELECT max(price) AS max_price, time_bucket(INTERVAL 10 DAY, date_time, {_EPOCH}) + INTERVAL 10 DAY AS end_time FROM bid GROUP BY 2) t
 ON b.price = t.max_price AND b.date_time BETWEEN t.end_time - INTERVAL 10 DAY AND t.end_time""",
-    "q8": f"""SELECT p.id, p.s AS window_start FROM (SELECT DISTINCT seller AS id, time_bucket(INTERVAL 30 DAY, date_time, {_EPOCH}) AS s FROM auction WHERE category <= 3) p
-JOIN (SELECT DISTINCT seller, time_bucket(INTERVAL 30 DAY, date_time, {_EPOCH}) AS s FROM auction WHERE category > 3) a ON p.id = a.seller AND p.s = a.s""",
+    "q8": _Q8.format(span="INTERVAL 30 DAY"),
     "q9": f"""SELECT id, item_name, seller, category, auction, bidder, price, date_time FROM (
   SELECT a.id, a.item_name, a.seller, a.category, b.auction, b.bidder, b.price, b.date_time, row_number() OVER (PARTITION BY a.id ORDER BY b.price DESC, b.date_time, b.bidder, b.channel, b.url, b.line) AS r FROM {_WINNING}) WHERE r = 1""",
     "q10": "SELECT auction, bidder, price, date_time, strftime(date_time, '%Y-%m-%d') AS dt, strftime(date_time, '%H:%M') AS hm FROM bid",
@@ -234,30 +265,23 @@ count(*) FILTER (price >= 50000) AS rank3_bids, min(price) AS min_price, max(pri
     "q18": "SELECT auction, bidder, price, channel, url, date_time, line FROM (SELECT *, row_number() OVER (PARTITION BY bidder, auction ORDER BY date_time DESC, price DESC, channel DESC, url DESC, line DESC) AS r FROM bid) WHERE r = 1",
     "q19": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY auction ORDER BY price DESC, date_time, bidder, channel, url, line) AS rank_number FROM bid) WHERE rank_number <= 10",
     "q20": "SELECT b.auction, b.bidder, b.price, b.channel, b.url, b.date_time, a.item_name, a.initial_bid, a.date_time AS opened, a.expires, a.seller, a.category FROM bid b JOIN auction a ON b.auction = a.id WHERE a.category = 5",
-    "q21": r"""SELECT * FROM (SELECT auction, bidder, price, channel, CASE WHEN lower(channel) = 'channel-ro' THEN '0' WHEN lower(channel) = 'channel-af' THEN '1'
-WHEN regexp_matches(url, 'channel_id=\d*[02468]$') THEN regexp_extract(url, 'channel_id=(\d*[02468])$', 1) END AS channel_id FROM bid) WHERE channel_id IS NOT NULL""",
-    "q21_whole": r"""SELECT * FROM (SELECT auction, bidder, price, channel, CASE WHEN lower(channel) = 'channel-ro' THEN '0' WHEN lower(channel) = 'channel-af' THEN '1'
-WHEN regexp_matches(url, '[?&]channel_id=') THEN regexp_extract(url, '[?&]channel_id=([^&]*)', 1) END AS channel_id FROM bid) WHERE channel_id IS NOT NULL""",
+    "q21": _Q21.format(names="WHEN lower(channel) = 'channel-ro' THEN '0' WHEN lower(channel) = 'channel-af' THEN '1'", some="'channel-ro', 'channel-af'"),
     "q22": "SELECT auction, bidder, price, channel, split_part(url, '/', 4) AS dir1, split_part(url, '/', 5) AS dir2, split_part(url, '/', 6) AS dir3 FROM bid",
-    "q23": "SELECT b.auction, b.bidder, b.price, a.item_name, a.date_time AS opened, p.name FROM bid b JOIN auction a ON b.auction = a.id JOIN person p ON a.seller = p.id",
+    "q23": _Q23,
 }
 
 
-def queries() -> dict:
-    every = (q0, q1, q2, q3, q4, q5, q7, q8, q9, q10, q11, q12, q13, q14, q15, q16, q17, q18, q19, q20, q21, q21_whole, q22, q23)
-    return {f"nexmark_{f.__name__}": f for f in every}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {f"nexmark_{k}": VIEWS + v for k, v in SQL.items()}
-
-
 # -- the suite's own events -------------------------------------------------------------------------------
 
+#: The stream's states, start, rates, texts and price rule, which decide its rows.
 STATES = ("OR", "ID", "CA", "WA", "NY", "TX")
 
 
-def event_stream(spark: SparkSession, n: int) -> DataFrame:
+#: Events of the queries over the suite's own stream.
+EVENTS = 100_000
+
+
+def event_stream(spark: SparkSession, n: int = EVENTS) -> DataFrame:
     """n deterministic events: in 50 there are 1 person, 3 auctions and 46 bids."""
     i = F.col("i")
     block, pos = F.floor(i / 50), F.pmod(i, F.lit(50))
@@ -285,3 +309,40 @@ def auction_of(events: DataFrame) -> DataFrame:
 
 def bid_of(events: DataFrame) -> DataFrame:
     return events.where("event_type = 2").select("seq", "bid.*")
+
+
+def events_q8(spark, d):
+    e = event_stream(spark)
+    return _new_sellers(person_of(e), auction_of(e), 10_000)
+
+
+def events_q21(spark, d):
+    return _channel_ids(bid_of(event_stream(spark)), ("channel-4", "channel-5"))
+
+
+def events_q23(spark, d):
+    e = event_stream(spark)
+    return _sold_by_bidders(bid_of(e), person_of(e), auction_of(e))
+
+
+#: The same events' views in DuckDB SQL.
+EVENT_VIEWS = f"""
+WITH e AS (SELECT i // 50 AS block, i % 50 AS pos, i, make_timestamp((1704067200000 + (i // 50) * 1000 + (i % 50) * 10) * 1000) AS date_time FROM generate_series(0, {EVENTS - 1}) g(i)),
+person AS (SELECT block AS id, 'person-' || block AS name, date_time FROM e WHERE pos = 0),
+auction AS (SELECT block * 3 + pos - 1 AS id, 'item-' || (block * 3 + pos - 1) AS item_name, block AS seller, date_time FROM e WHERE pos BETWEEN 1 AND 3),
+bid AS (SELECT block * 3 + pos % 3 AS auction, pos AS bidder, i % 1000 + 1 AS price, 'channel-' || (pos % 8) AS channel, 'https://nexmark.test/' || (block * 3 + pos % 3) AS url, date_time FROM e WHERE pos > 3)
+"""
+EVENT_SQL = {
+    "events_q8": _Q8.format(span="INTERVAL 10 SECOND"),
+    "events_q21": _Q21.format(names="WHEN lower(channel) = 'channel-4' THEN '0' WHEN lower(channel) = 'channel-5' THEN '1'", some="'channel-4', 'channel-5'"),
+    "events_q23": _Q23,
+}
+
+
+def queries() -> dict:
+    every = (q0, q1, q2, q3, q4, q5, q7, q8, q9, q10, q11, q12, q13, q14, q15, q16, q17, q18, q19, q20, q21, q22, q23, events_q8, events_q21, events_q23)
+    return {f"nexmark_{f.__name__}": f for f in every}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {f"nexmark_{k}": VIEWS + v for k, v in SQL.items()} | {f"nexmark_{k}": EVENT_VIEWS + v for k, v in EVENT_SQL.items()}
