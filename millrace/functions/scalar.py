@@ -180,7 +180,7 @@ def regexp_extract(x: Column | str, pattern: str, group: int = 0) -> Column:
         return F.when(x.rlike(pattern), found)
     # an empty result: at the first match, a reference to a group that took no part fails, one to an empty group doesn't
     took_part = x.rlike(rf"\A(?>[\s\S]*?(?=(?:{pattern})))\{group}")
-    return F.when((found != "") | (x.rlike(pattern) & took_part), found)
+    return F.coalesce(F.nullif(found, F.lit("")), F.when(x.rlike(pattern) & took_part, ""))
 
 
 def _groups(pattern: str) -> int | None:

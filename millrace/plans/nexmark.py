@@ -203,7 +203,7 @@ def _channel_ids(b: DataFrame, names: tuple[str, ...]) -> DataFrame:
     channel = F.lit(None)
     for i, name in reversed(list(enumerate(names))):
         channel = F.when(lowered == name, str(i)).otherwise(channel if i < len(names) - 1 else from_url)
-    return b.where(from_url.isNotNull() | lowered.isin(*names)).select("auction", "bidder", "price", "channel", channel.alias("channel_id"))
+    return b.where(lowered.isin(*names) | from_url.isNotNull()).select("auction", "bidder", "price", "channel", channel.alias("channel_id"))
 
 
 def q21(spark, d):
