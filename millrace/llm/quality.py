@@ -37,7 +37,7 @@ SAMPLE = 8000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 40, 128, 0.004, 1e-4
 THRESHOLD = 0.7
 N_FEATURES = 2 * DIM + 5
-#: Texts of one matrix product.
+#: Texts pooled at a time.
 BLOCK = 64
 
 _KIND = np.full(256, 2, dtype=np.uint8)  # 0 space, 1 letter or digit, 2 symbol
@@ -55,13 +55,13 @@ def index_vectors() -> np.ndarray:
 
 @dataclass
 class Texts:
-    """Rows lo to hi: their tokens' places, each text's first token, and how often it has each place."""
+    """Rows lo to hi: their tokens' places, each text's first token, and each token's text."""
 
     lo: int
     hi: int
     word: np.ndarray
     first: np.ndarray
-    words: np.ndarray  # (hi - lo) x WORDS
+    owner: np.ndarray  # each token's text, from 0
 
 
 def blocks(column: pa.Array) -> Iterator[Texts]:
@@ -83,12 +83,16 @@ def blocks(column: pa.Array) -> Iterator[Texts]:
             first = np.searchsorted(starts, bounds)
             word = (span_hashes(_BYTE[raw], starts, ends) >> np.uint64(50)).astype(np.int64)
             owner = np.repeat(np.arange(m), np.diff(first))
-            words = np.bincount(owner * WORDS + word, minlength=m * WORDS).reshape(m, WORDS).astype(np.float32)
-            yield Texts(lo, hi, word, first, words)
+            yield Texts(lo, hi, word, first, owner)
 
 
-def _mean(weights: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    return weights @ vectors / np.maximum(weights.sum(axis=1, keepdims=True), 1)
+def _mean(weight: np.ndarray, place: np.ndarray, owner: np.ndarray, m: int, vectors: np.ndarray) -> np.ndarray:
+    """Each text's weighted mean of its places' vectors; owners ascend."""
+    out, total = np.zeros((m, DIM)), np.bincount(owner, weight, minlength=m)
+    if len(owner):
+        heads = np.flatnonzero(np.r_[True, np.diff(owner) > 0])
+        out[owner[heads]] = np.add.reduceat(vectors[place] * weight[:, None].astype(np.float32), heads, axis=0)
+    return out / np.maximum(total, 1)[:, None]
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
@@ -99,7 +103,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         for t in blocks(batch.column(1)):
             if not len(t.word):
                 continue
-            owner = np.repeat(np.arange(t.hi - t.lo), np.diff(t.first))
+            owner = t.owner
             near = np.zeros((len(t.word), DIM), dtype=np.float32)
             for d in range(1, WINDOW + 1):
                 same = (owner[d:] == owner[:-d])[:, None]
@@ -117,8 +121,9 @@ def features(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     for t in blocks(column):
         m = t.hi - t.lo
-        pooled = [_mean(t.words, vectors), _mean(np.log1p(t.words), vectors)]
-        n, owner = np.diff(t.first), np.repeat(np.arange(m), np.diff(t.first))
+        n, owner = np.diff(t.first), t.owner
+        pair, count = np.unique(owner * WORDS + t.word, return_counts=True)
+        pooled = [_mean(weight, pair % WORDS, pair // WORDS, m, vectors) for weight in (count, np.log1p(count))]
         alike = []
         for d in (1, 2):
             pairs = np.flatnonzero(owner[d:] == owner[:-d])
