@@ -36,9 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in ``spark.checkpoint.dir``; where that is unset (local tests), in a temporary folder."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in ``spark.checkpoint.dir``; where that is unset, in a temporary folder on a local master, else ValueError."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         where = tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", where)
     path = f"{where}/millrace-{tag}-{uuid.uuid4().hex}"
