@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from millrace.functions import aggregates as A
 from millrace.operators import changelog, windows
 from millrace.streaming import processors as P
-from millrace.streaming.runner import END, events_stream, finish, keyed, ntz
+from millrace.streaming.runner import END, events_stream, finish, keyed, ntz, time_sort
 from millrace.types import ROW_KIND
 
 HOUR = 3_600_000
@@ -199,8 +199,8 @@ def stream_temporal_join(s, d):
 
 
 def stream_sort(s, d):
-    rows = _events(s, d).select(F.lit(0).alias("one"), "ts", F.unix_millis("ts").alias("_ms"), F.coalesce("event_id", F.lit(-1)).alias("event_id"), "v")
-    return finish(keyed(rows, ["one"], P.TimeSort(["event_id", "v"], "event_id"), _schema(event_id=_LONG, v=_LONG), mode="Append", time="EventTime")).where("event_id >= 0")
+    """The last row stays behind, as no watermark passes it."""
+    return time_sort(_events(s, d).select("ts", "event_id", "v"), "ts", "event_id").drop("ts")
 
 
 _BUCKET = f"time_bucket(INTERVAL 1 HOUR, ts, {_EPOCH})"

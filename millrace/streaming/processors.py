@@ -476,35 +476,3 @@ class TemporalJoin(StatefulProcessor):
 
     def close(self) -> None:
         pass
-
-
-class TimeSort(StatefulProcessor):
-    """Holds rows until the watermark has passed their time ``_ms`` and gives them by time, ties in arrival order."""
-
-    def __init__(self, columns: list[str], arrival: str):
-        self.columns, self.arrival = columns, arrival
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getMapState("waiting", T.StructType([T.StructField("ms", T.LongType())]), _BLOB)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new: dict[int, list] = {}
-        for text in _text_rows(rows, self.arrival, self.values):
-            row = {c: self.values.one(c, v) for c, v in text.items()}
-            new.setdefault(row["ms"], []).append((row[self.arrival], tuple(row[c] for c in self.columns)))
-        for ms, some in new.items():
-            held = pickle.loads(bytes(self.waiting.getValue((ms,))[0])) if self.waiting.containsKey((ms,)) else []
-            self.waiting.updateValue((ms,), (pickle.dumps(held + some),))
-            self.handle.registerTimer(ms)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = (int(expiredTimerInfo.getExpiryTimeInMs()),)
-        if self.waiting.containsKey(at):
-            some = sorted(pickle.loads(bytes(self.waiting.getValue(at)[0])), key=lambda x: (x[0] is None, x[0]))
-            self.waiting.removeKey(at)
-            yield pd.DataFrame([v for _, v in some], columns=self.columns, dtype=object)
-
-    def close(self) -> None:
-        pass

@@ -6,7 +6,7 @@ import os
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,21 +40,43 @@ def events_stream(spark: SparkSession, sf_dir: str, *, end: bool = True, delay:
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
-def finish(df: DataFrame, mode: str = "append", tag: str = "stream") -> DataFrame:
+def finish(df: DataFrame, mode: str = "append", tag: str = "stream", order: list[Column] | None = None) -> DataFrame:
     """Runs a stream until its input is used up and returns all that it gave.
 
     Each epoch overwrites a folder of its own, so an epoch that is run again after a failure does not
-    count twice.
+    count twice.  With ``order``, an epoch's rows are written in that order, and the epochs are returned one after the other.
     """
     spark = df.sparkSession
     ready(spark)
     path = scratch(spark, tag)
 
     def put(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out/_epoch={epoch}")
+        out = f"{path}/out/_epoch={epoch}"
+        if not order:
+            return batch.write.mode("overwrite").parquet(out)
+        held = batch.persist()  # a sort reads its input twice, and the state is to be read once
+        try:
+            held.orderBy(*order).write.mode("overwrite").parquet(out)
+        finally:
+            held.unpersist()
 
     df.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(df.schema).option("basePath", f"{path}/out").parquet(f"{path}/out/*").drop("_epoch")
+    out = spark.read.schema(df.schema).option("basePath", f"{path}/out").parquet(f"{path}/out/*")
+    return (out.orderBy("_epoch", *order) if order else out).drop("_epoch")
+
+
+def held_back(df: DataFrame, time: str, arrival: str) -> DataFrame:
+    """Rows wait until the watermark has passed their time; rows without a time do not wait.
+
+    Each row is a state entry of its own under its time and ``arrival``, so the work is spread however the times are.
+    """
+    groups = df.groupBy(F.window(time, "1 millisecond"), arrival).agg(F.collect_list(F.struct(*df.columns)).alias("_rows"))
+    return groups.select(F.inline("_rows")).unionByName(df.where(F.col(time).isNull()))
+
+
+def time_sort(df: DataFrame, time: str, arrival: str) -> DataFrame:
+    """Runs a stream to its end and returns its rows by time, ties in arrival order; rows without a time come last in their epoch."""
+    return finish(held_back(df, time, arrival), order=[F.asc_nulls_last(time), F.asc_nulls_last(arrival)])
 
 
 def keyed(df: DataFrame, keys: list[str], processor, schema: T.StructType, *, mode: str = "Update", time: str = "None") -> DataFrame:
