@@ -240,6 +240,13 @@ def epoch_ms(ts: Column | str) -> Column:
     return F.unix_millis(_col(ts).cast("timestamp"))
 
 
+def epoch_ms_nearest(ts: Column | str) -> Column:
+    """The nearest millisecond since 1970, halves away from 1970, as DuckDB's ``epoch_ms`` gives it."""
+    us = F.unix_micros(_col(ts).cast("timestamp"))
+    rest = us % 1000
+    return F.call_function("div", us, F.lit(1000)) + F.when(rest >= 500, 1).when(rest <= -500, -1).otherwise(0)
+
+
 def to_timestamp_ltz(ms: Column | str) -> Column:
     return F.timestamp_millis(_col(ms))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -18,9 +20,9 @@ def rows_preceding(keys: list[str], ts: str, n: int, arrival: str | None = None)
     return Window.partitionBy(*keys).orderBy(*order).rowsBetween(-n, Window.currentRow)
 
 
-def range_interval(keys: list[str], ts: str, ms: int) -> WindowSpec:
-    """Rows at most ``ms`` earlier, both ends inclusive."""
-    return Window.partitionBy(*keys).orderBy(epoch_ms(ts)).rangeBetween(-ms, Window.currentRow)
+def range_interval(keys: list[str], ts: str, ms: int, to_ms: Callable[[str], Column] = epoch_ms) -> WindowSpec:
+    """Rows at most ``ms`` earlier, both ends inclusive; ``to_ms`` says in which millisecond a time is."""
+    return Window.partitionBy(*keys).orderBy(to_ms(ts)).rangeBetween(-ms, Window.currentRow)
 
 
 def over(df: DataFrame, spec: WindowSpec, aggregates: dict[str, Column]) -> DataFrame:

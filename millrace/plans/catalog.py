@@ -520,7 +520,7 @@ def _(s, d):
 
 @query("over_range_interval", E + "SELECT event_id, CAST(sum(v) OVER w AS BIGINT) AS s, max(v) OVER w AS hi FROM e WINDOW w AS (PARTITION BY user_id ORDER BY epoch_ms(ts) RANGE BETWEEN 7200000 PRECEDING AND CURRENT ROW)")
 def _(s, d):
-    return over.over(events(s, d), over.range_interval(["user_id"], "ts", 2 * HOUR), {"s": F.sum("v"), "hi": F.max("v")}).select("event_id", "s", "hi")
+    return over.over(events(s, d), over.range_interval(["user_id"], "ts", 2 * HOUR, S.epoch_ms_nearest), {"s": F.sum("v"), "hi": F.max("v")}).select("event_id", "s", "hi")
 
 
 @query("over_rank_functions", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS row_number, rank() OVER w AS rank, dense_rank() OVER w AS dense_rank FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)")

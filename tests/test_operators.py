@@ -198,3 +198,17 @@ def test_every_line_item_is_unnested(spark, sf):
 
     want = spark.read.parquet(f"{sf}/lineitem.parquet").agg(F.sum("l_linenumber")).first()[0]
     assert catalog.queries()["unnest_multiset"](spark, sf).count() == want
+
+
+def test_range_interval_query_rounds_times_as_its_sql(spark, tmp_path):
+    """Times within a millisecond of the frame's edge, before and after 1970, and NULL ones."""
+    import duckdb
+
+    from millrace.plans import catalog
+
+    con = duckdb.connect()
+    con.execute(f"""COPY (SELECT i AS event_id, CASE WHEN i % 45 <> 44 THEN make_timestamp((i % 5 - 2) * 7200000000 + (i * 100) % 4500 - 2000) END AS ts, CASE WHEN i % 4 > 0 THEN i % 4 END AS user_id, 'view' AS event_type, i * i / 8 AS value, NULL::VARCHAR AS props
+FROM range(600) t(i)) TO '{tmp_path}/events.parquet'""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    got = rows(catalog.queries()["over_range_interval"](spark, str(tmp_path)), "event_id", "s", "hi")
+    assert got == sorted(con.execute(catalog.oracle_sql()["over_range_interval"]).fetchall())
