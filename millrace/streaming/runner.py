@@ -68,7 +68,7 @@ def finish(df: DataFrame, mode: str = "append", tag: str = "stream", order: list
 def held_back(df: DataFrame, time: str, arrival: str) -> DataFrame:
     """Rows wait until the watermark has passed their time; rows without a time do not wait.
 
-    Each row is a state entry of its own under its time and ``arrival``, so the work is spread however the times are.
+    Rows that share their time and ``arrival`` share a state entry, so with arrivals that differ the work is spread however the times are.
     """
     groups = df.groupBy(F.window(time, "1 millisecond"), arrival).agg(F.collect_list(F.struct(*df.columns)).alias("_rows"))
     return groups.select(F.inline("_rows")).unionByName(df.where(F.col(time).isNull()))
